@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import text_or_empty, word_count
+from loomspark.llm.chat import format_chats
+from loomspark.llm.exact_dedup import exact_groups
 from loomspark.llm.mixing import Mixture
+from loomspark.llm.url_filter import host_of, judge_urls, path_of
 from loomspark.session import read_table
 
 
@@ -18,8 +21,53 @@ def op8_mix_sources(spark, sf_dir):
     return joined.select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Pages of hosts whose first label is this are listed, by their canonical URL, as URLs to block.
+LISTED_LABEL = "spam-farm"
+
+
+def op5_url_filter(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where(F.col("host").startswith(LISTED_LABEL + "."))
+    return judge_urls(pages, listed=listed).select("page.page_id", "host", "path", "rule", "verdict")
+
+
+def op6_exact_dedup(spark, sf_dir):
+    return exact_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_chat_format(spark, sf_dir):
+    return format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op5_url_filter": op5_url_filter,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op9_chat_format": op9_chat_format,
     "op8_mix_sources": op8_mix_sources,
 }
 
-ORACLE_SQL = {}
+ORACLE_SQL = {
+    "op5_url_filter": r"""
+        WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, regexp_extract(rest, '(?s)^([^/?#]*)', 1) AS h, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        q AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p),
+        r(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+        fits AS (SELECT page_id, host, path, rh || rp AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, length(rh) DESC) AS k
+                 FROM q JOIN r ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp))
+        SELECT q.page_id, q.host, q.path,
+f.rule,
+               coalesce(f.v, CASE WHEN starts_with(q.host, 'spam-farm.') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM q LEFT JOIN fits f ON f.page_id = q.page_id AND f.k = 1""",
+    "op6_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents),
+        g AS (SELECT doc_id, plain, first_value(doc_id) OVER (PARTITION BY plain ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size FROM d)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM g""",
+    "op9_chat_format": r"""
+        WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        c AS (SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY turn, role, text) AS ts FROM t GROUP BY conv_id),
+        u AS (SELECT min(conv_id) AS conv_id, n_turns, ts, count(*) AS n_copies FROM c GROUP BY n_turns, ts),
+        pre AS (SELECT DISTINCT k AS n_turns, ts[1:k] AS ts FROM (SELECT ts, unnest(range(1, n_turns)) AS k FROM c))
+        SELECT u.conv_id, u.n_turns, u.n_copies,
+               list_aggregate(list_transform(u.ts, lambda x: '<|im_start|>' || replace(replace(x.r, '<|', '< |'), '|>', '| >') || chr(10) || replace(replace(x.t, '<|', '< |'), '|>', '| >') || '<|im_end|>' || chr(10)), 'string_agg', '') AS rendered
+        FROM u WHERE NOT EXISTS (SELECT 1 FROM pre WHERE pre.n_turns = u.n_turns AND pre.ts = u.ts)""",
+}
