@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import text_or_empty, word_count
+from loomspark.llm.bpe import decoded, encoded
 from loomspark.llm.chat import format_chats
 from loomspark.llm.exact_dedup import exact_groups
 from loomspark.llm.mixing import Mixture
+from loomspark.llm.sharding import assign_shards
 from loomspark.llm.url_filter import host_of, judge_urls, path_of
 from loomspark.session import read_table
 
@@ -21,6 +23,36 @@ def op8_mix_sources(spark, sf_dir):
     return joined.select("doc_id", "size", "source_size", "target", "taken")
 
 
+
+
+def tokenizer_path() -> str:
+    """The file of the public tokenizer that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_shard(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    text = text_or_empty()
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    placed = assign_shards(rows, "doc_id")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op2_bpe(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    path = tokenizer_path()
+    ids = docs.select("doc_id", encoded(text_or_empty(), path).alias("ids"))
+    both = ids.select("doc_id", "ids", decoded(F.col("ids"), path).alias("decoded"))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 #: Pages of hosts whose first label is this are listed, by their canonical URL, as URLs to block.
 LISTED_LABEL = "spam-farm"
 
@@ -40,6 +72,8 @@ def op9_chat_format(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_shard": op1_shard,
+    "op2_bpe": op2_bpe,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_chat_format": op9_chat_format,
