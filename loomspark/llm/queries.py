@@ -10,6 +10,7 @@ from loomspark.llm.chat import format_chats
 from loomspark.llm.exact_dedup import exact_groups
 from loomspark.llm.mixing import Mixture
 from loomspark.llm.sharding import assign_shards
+from loomspark.llm.simhash import near_groups
 from loomspark.llm.url_filter import host_of, judge_urls, path_of
 from loomspark.session import read_table
 
@@ -71,12 +72,17 @@ def op9_chat_format(spark, sf_dir):
     return format_chats(read_table(spark, sf_dir, "conversations"))
 
 
+def op10_simhash(spark, sf_dir):
+    return near_groups(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_shard": op1_shard,
     "op2_bpe": op2_bpe,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_chat_format": op9_chat_format,
+    "op10_simhash": op10_simhash,
     "op8_mix_sources": op8_mix_sources,
 }
 
