@@ -106,20 +106,20 @@ def split_quotas(counts: DataFrame, shards: int = SHARDS, seed: int = 0) -> Data
 
 
 class Mixture:
-    """The plan of one mix; `rows` gives every input row with what the mix does with it."""
+    """The plan of one mix; `sized` and `rows` tell what it does with every input row, `mixed` gives the mix."""
 
     def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, cap=MAX_EPOCHS, blocks=BLOCKS, shards=SHARDS, seed=0):
         self.docs, self.seed, self.blocks, self.shards, self.cap = docs, seed, blocks, shards, cap
         self._cols = (id_col, text_col, source_col)
         narrow = self._keyed(docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "source", "id", "text")
-        self._sized = written(narrow.select("source", "block", "order", word_count(text_or_empty()).alias("size")), "mix-sizes")
+        self._sized = written(narrow.select("id", "source", "block", "order", word_count(text_or_empty()).alias("size")), "mix-sizes")
         self.sources = written(source_targets(self._sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "mix-sources")
         self.plan = written(self._plan(), "mix-plan")
 
-    def _keyed(self, df: DataFrame, source: str, id_: str, text: str, *keep: Column) -> DataFrame:
+    def _keyed(self, df: DataFrame, source: str, id_: str, text: str) -> DataFrame:
         h = F.xxhash64(F.lit(self.seed), F.col(source), F.col(id_), F.col(text))
         bits = BLOCK_BITS + FINE_BITS
-        return df.select("*", *keep, F.pmod(h, F.lit(self.blocks)).cast("int").alias("block"), F.shiftrightunsigned(h, 64 - bits).alias("order"))
+        return df.select("*", F.pmod(h, F.lit(self.blocks)).cast("int").alias("block"), F.shiftrightunsigned(h, 64 - bits).alias("order"))
 
     def _plan(self) -> DataFrame:
         seed = F.lit(self.seed)
@@ -165,16 +165,24 @@ class Mixture:
         none = F.shiftleft(F.col("bin"), FINE_BITS) - 1  # nothing of the bin, if that is nearer
         return nearest.select("ix", F.when(F.col("best.off") < F.col("rest"), F.col("best.order")).otherwise(none).alias("limit"))
 
-    def rows(self, *values: Column) -> DataFrame:
-        """Every input row as `row`, with `draws`: (epoch, shard) of each copy that the mix takes, and the values."""
-        id_, text, source = self._cols
-        packed = self._keyed(self.docs.select(whole_row(self.docs)), f"row.`{source}`", f"row.`{id_}`", f"row.`{text}`", *values)
+    def _drawn(self, keyed: DataFrame, source: str) -> DataFrame:
+        """keyed (block, order and a source column) with `draws`: (epoch, shard) of each copy that the mix takes."""
         plan = self.plan.select(F.col("source").alias("at_source"), F.col("block").alias("at_block"), F.col("draws").alias("all_draws"))
-        joined = packed.join(plan, F.col(f"row.`{source}`").eqNullSafe(F.col("at_source")) & (F.col("block") == F.col("at_block")), "left")
+        joined = keyed.join(plan, F.col(source).eqNullSafe(F.col("at_source")) & (F.col("block") == F.col("at_block")), "left")
         drawn = F.filter("all_draws", lambda d: d["limit"].isNull() | (F.col("order") <= d["limit"]))
         drawn = F.transform(F.coalesce(drawn, F.array().cast(plan.schema["all_draws"].dataType)), lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard")))
         return joined.withColumn("draws", drawn).drop("all_draws", "at_source", "at_block", "block")
 
+    def sized(self) -> DataFrame:
+        """Of every input row the id, source, size (words) and draws, without reading the texts again."""
+        return self._drawn(self._sized, "source").select("id", "source", "size", "draws")
+
+    def rows(self) -> DataFrame:
+        """Every input row as `row`, with its draws and its order."""
+        id_, text, source = self._cols
+        packed = self._keyed(self.docs.select(whole_row(self.docs)), f"row.`{source}`", f"row.`{id_}`", f"row.`{text}`")
+        return self._drawn(packed, f"row.`{source}`")
+
     def mixed(self) -> DataFrame:
         """The mix: `row` once for each copy, with its `shard`, `epoch` and `place`, a random order within the shard."""
         one = self.rows().select("row", "order", F.explode("draws").alias("draw"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import text_or_empty, word_count
+from loomspark.llm.common import text_or_empty
 from loomspark.llm.bpe import decoded, encoded
 from loomspark.llm.chat import format_chats
 from loomspark.llm.exact_dedup import exact_groups
@@ -16,14 +16,10 @@ from loomspark.session import read_table
 
 
 def op8_mix_sources(spark, sf_dir):
-    mixture = Mixture(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    rows = mixture.rows(word_count(F.coalesce(F.col("row.text"), F.lit(""))).alias("size"))
-    sources = mixture.sources.select("source", "source_size", "target")
-    taken = rows.select(F.col("row.doc_id").alias("doc_id"), "size", F.col("row.source").alias("source"), (F.col("size") * F.size("draws")).alias("taken"))
-    joined = taken.join(sources, taken["source"].eqNullSafe(sources["source"]))
-    return joined.select("doc_id", "size", "source_size", "target", "taken")
-
-
+    mixture = Mixture(read_table(spark, sf_dir, "documents"))
+    rows, sources = mixture.sized(), mixture.sources.select("source", "source_size", "target")
+    joined = rows.join(sources, rows["source"].eqNullSafe(sources["source"]))
+    return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
 def tokenizer_path() -> str:
