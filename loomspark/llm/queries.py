@@ -11,6 +11,7 @@ from loomspark.llm.exact_dedup import exact_groups
 from loomspark.llm.mixing import Mixture
 from loomspark.llm.sharding import assign_shards
 from loomspark.llm.simhash import near_groups
+from loomspark.llm.toxicity import grade_documents
 from loomspark.llm.url_filter import host_of, judge_urls, path_of
 from loomspark.session import read_table
 
@@ -50,6 +51,12 @@ def op2_bpe(spark, sf_dir):
     )
 
 
+def op4_toxicity(spark, sf_dir):
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    graded = grade_documents(docs.select("doc_id", "text"), labels)
+    return graded.select("row.doc_id", F.round("severity", 9).alias("severity"), F.round("p_toxic", 9).alias("p_toxic"), "grade", "rejected")
+
+
 #: Pages of hosts whose first label is this are listed, by their canonical URL, as URLs to block.
 LISTED_LABEL = "spam-farm"
 
@@ -75,6 +82,7 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op1_shard": op1_shard,
     "op2_bpe": op2_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_chat_format": op9_chat_format,
