@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import text_or_empty, uniform, whole_row, word_count, written
+from loomspark.llm.common import let, text_or_empty, uniform, whole_row, word_count, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -66,10 +66,14 @@ def _hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) ->
         return F.array_append(logs, F.element_at(logs, -1) + F.log(ratio))
 
     steps = F.when(most > least, F.sequence(least, most - 1)).otherwise(F.array().cast("array<bigint>"))
-    logs = F.aggregate(steps, F.array(F.lit(0.0)), step)
-    mass = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    sums = F.aggregate(mass, F.array(F.lit(0.0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-    return least + F.size(F.filter(sums, lambda c: c <= u * F.element_at(sums, -1))).cast("long") - 1
+    def quantile(sums: Column) -> Column:
+        return let(u * F.element_at(sums, -1), lambda at: least + F.size(F.filter(sums, lambda c: c <= at)).cast("long") - 1)
+
+    def scaled(logs: Column) -> Column:
+        return let(F.array_max(logs), lambda top: F.transform(logs, lambda x: F.exp(x - top)))
+
+    sums = lambda mass: F.aggregate(mass, F.array(F.lit(0.0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    return let(F.aggregate(steps, F.array(F.lit(0.0)), step), lambda logs: let(sums(scaled(logs)), quantile))
 
 
 def split_quotas(counts: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
