@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import text_or_empty
 from loomspark.llm.bpe import decoded, encoded
 from loomspark.llm.chat import format_chats
+from loomspark.llm.embedding_dedup import near_vectors
 from loomspark.llm.exact_dedup import exact_groups
 from loomspark.llm.mixing import Mixture
 from loomspark.llm.sharding import assign_shards
@@ -51,6 +52,10 @@ def op2_bpe(spark, sf_dir):
     )
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark, sf_dir):
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     graded = grade_documents(docs.select("doc_id", "text"), labels)
@@ -82,6 +87,7 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op1_shard": op1_shard,
     "op2_bpe": op2_bpe,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
