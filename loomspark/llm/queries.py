@@ -10,6 +10,7 @@ from loomspark.llm.chat import format_chats
 from loomspark.llm.embedding_dedup import near_vectors
 from loomspark.llm.exact_dedup import exact_groups
 from loomspark.llm.mixing import Mixture
+from loomspark.llm.packing import pack
 from loomspark.llm.sharding import assign_shards
 from loomspark.llm.simhash import near_groups
 from loomspark.llm.toxicity import grade_documents
@@ -17,6 +18,10 @@ from loomspark.llm.url_filter import host_of, judge_urls, path_of
 from loomspark.session import read_table
 
 
+def op7_pack_tokens(spark, sf_dir):
+    return pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op8_mix_sources(spark, sf_dir):
     mixture = Mixture(read_table(spark, sf_dir, "documents"))
     rows, sources = mixture.sized(), mixture.sources.select("source", "source_size", "target")
@@ -91,9 +96,10 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_pack_tokens": op7_pack_tokens,
+    "op8_mix_sources": op8_mix_sources,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
-    "op8_mix_sources": op8_mix_sources,
 }
 
 ORACLE_SQL = {
