@@ -135,7 +135,7 @@ class Mixture:
             sums.join(targets, sums["source"].eqNullSafe(targets["source"])).drop(sums["source"])
             .withColumn("upto", F.sum("block_size").over(permuted))
             .withColumn("left", F.col("part") - (F.col("upto") - F.col("block_size")))
-            .withColumn("whole", F.col("upto") <= F.col("part"))
+            .withColumn("whole", (F.col("upto") <= F.col("part")) & (F.col("part") > 0))
             .withColumn("crossing", ~F.col("whole") & (F.col("left") > 0))
         )
         blocks = written(blocks.select("source", "ix", "block", "epochs", "left", "whole", "crossing"), "mix-blocks")
