@@ -1 +1 @@
-
+"""Column functions and running computations that operators share."""
