@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import tables
+from loomspark.plans import intervals, tables
 
-QUERIES = {**tables.QUERIES}
-ORACLE_SQL = {**tables.ORACLE_SQL}
+_PARTS = (tables, intervals)
+QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
 FLAGSHIP = "table_groupby_lineitem"
