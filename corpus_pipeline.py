@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.bpe import decoded, encoded
-from loomspark.llm.common import text_or_empty, written
+from loomspark.llm.bpe import encode_table
+from loomspark.llm.common import written
 from loomspark.llm.exact_dedup import drop_exact_copies
 from loomspark.llm.mixing import Mixture
 from loomspark.llm.queries import tokenizer_path
@@ -37,9 +37,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's ids and the text that they decode to."""
-    path = tokenizer_path()
-    ids = docs.select("doc_id", "lang", "source", encoded(text_or_empty(), path).alias("ids"))
-    return ids.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"), decoded(F.col("ids"), path).alias("decoded"))
+    coded = encode_table(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(), decoded_col="decoded")
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"), "decoded")
 
 
 STAGES = [

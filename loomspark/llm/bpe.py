@@ -17,20 +17,32 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 LONG = 64
 #: A worker forgets its words after a text that brought them to more than so many; longer words are never kept.
 CACHE_WORDS, CACHE_CHARS = 300_000, 64
-NONE = 1 << 60
+#: Ids have at most so many bits.
+SHIFT = 20
+MASK, NONE = (1 << SHIFT) - 1, 1 << 62
+#: Texts of ASCII (but for the separators 1C to 1F) and precomposed Latin letters are split by the standard library's
+#: faster expressions: among these characters the classes below agree, NFC changes nothing and lower case is plain.
+beyond_plain = re.compile("[^\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]").search
+PLAIN_CLASSES = ((r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)"), (r"[\p{L}]", r"[^\W\d_]"), (r"[\p{N}]", r"\d"))
+#: Texts of so many characters are handed on at a time.
+SLICE = 2_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -66,12 +78,16 @@ class Bpe:
         self.end = model["end_of_word_suffix"] or ""
         self.first = [vocab[c] for c in byte_alphabet()]
         self.last = [vocab[c + self.end] for c in byte_alphabet()]
+        #: For a pair of ids as one number, its rank and the id that it becomes, as one number.
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
+            self.merges.setdefault(vocab[a] << SHIFT | vocab[b], rank << SHIFT | vocab[a + b])
+        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        self.words = regex.compile(split).findall
+        for names, plain in PLAIN_CLASSES:
+            split = split.replace(names, plain)
+        self.plain_words = None if "\\p" in split else re.compile(split).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known = Known(self)
 
@@ -86,37 +102,38 @@ class Bpe:
         return tuple(self._by_heap(ids) if len(ids) > LONG else self._by_scan(ids))
 
     def _by_scan(self, ids: list[int]) -> list[int]:
-        merges, nothing = self.merges, (NONE, -1)
-        ranks = [merges.get(p, nothing) for p in zip(ids, ids[1:])]
+        rank_of = self.merges.get
+        ranks = [rank_of(a << SHIFT | b, NONE) for a, b in zip(ids, ids[1:])]
         while ranks:
             low = min(ranks)
-            if low[0] == NONE:
+            if low == NONE:
                 break
             i = ranks.index(low)
-            ids[i] = low[1]
+            ids[i] = low & MASK
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = merges.get((ids[i - 1], ids[i]), nothing)
+                ranks[i - 1] = rank_of(ids[i - 1] << SHIFT | ids[i], NONE)
             if i < len(ranks):
-                ranks[i] = merges.get((ids[i], ids[i + 1]), nothing)
+                ranks[i] = rank_of(ids[i] << SHIFT | ids[i + 1], NONE)
         return ids
 
     def _by_heap(self, ids: list[int]) -> list[int]:
-        merges, n = self.merges, len(ids)
+        rank_of, n = self.merges.get, len(ids)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        heap = [(m[0], i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := merges.get((a, b)))]
+        pairs = [a << SHIFT | b for a, b in zip(ids, ids[1:])]
+        heap = [(rank_of(p), i, p) for i, p in enumerate(pairs) if p in self.merges]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else -1
-            if j < 0 or ids[j] != b:
+            low, i, pair = heapq.heappop(heap)
+            j = after[i] if ids[i] >= 0 else -1
+            if j < 0 or ids[i] << SHIFT | ids[j] != pair:
                 continue
-            ids[i], ids[j], after[i] = merges[(a, b)][1], -1, after[j]
+            ids[i], ids[j], after[i] = low & MASK, -1, after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (m := merges.get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (m[0], left, ids[left], ids[right]))
+                if left >= 0 and right >= 0 and (p := ids[left] << SHIFT | ids[right]) in self.merges:
+                    heapq.heappush(heap, (rank_of(p), left, p))
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> list[int]:
@@ -126,7 +143,8 @@ class Bpe:
             if piece in self.special:
                 out.append(self.special[piece])
                 continue
-            out.extend(chain.from_iterable(map(self.known.__getitem__, self.words(self.normal(piece)))))
+            words = self.plain_words(piece.lower()) if self.plain_words and not beyond_plain(piece) else self.words(self.normal(piece))
+            out.extend(chain.from_iterable(map(self.known.__getitem__, words)))
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
         return out
@@ -141,25 +159,49 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encoded(text: Column, path: str) -> Column:
-    """The ids of each text, an array of int."""
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose texts (column number at) have about SLICE bytes together."""
+    sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False)).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        done = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, done + SLICE)))
+        yield batch.slice(start, end - start)
+        start = end
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def encode_table(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """df with the ids of each text and, if decoded_col names a column, the text that the ids decode to. Columns of
+    these names that df has are replaced."""
+    new = {ids_col: ArrayType(IntegerType())} | ({decoded_col: StringType()} if decoded_col else {})
+    kept = [f for f in df.schema if f.name not in new]
+    out = StructType([*kept, *[StructField(n, t) for n, t in new.items()]])
+    rows = df.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{f.name}`") for f in kept])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for texts in batches:
-            yield pd.Series([bpe.encode(t) if t else [] for t in texts], dtype=object)
+        for batch in batches:
+            for piece in _slices(batch, 0):
+                ids = [np.array(bpe.encode(t), np.int32) if t else np.empty(0, np.int32) for t in piece.column(0).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                arrays = [*piece.columns[1:], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))]
+                if decoded_col:
+                    arrays.append(pa.array([bpe.decode(i.tolist()) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    return encode(text)
+    return rows.mapInArrow(encode, out)
 
 
-def decoded(ids: Column, path: str) -> Column:
-    """The text of each array of ids."""
+def decode_table(df: DataFrame, path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """df with the text that each array of ids decodes to; null stays null."""
+    kept = [f for f in df.schema if f.name != decoded_col]
+    out = StructType([*kept, StructField(decoded_col, StringType())])
+    at = [f.name for f in kept].index(ids_col)
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for rows in batches:
-            yield pd.Series([None if r is None else bpe.decode(r.tolist()) for r in rows], dtype=object)
+        for batch in batches:
+            texts = [None if i is None else bpe.decode(i) for i in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=out.names)
 
-    return decode(ids)
+    return df.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(decode, out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import text_or_empty
-from loomspark.llm.bpe import decoded, encoded
+from loomspark.llm.bpe import encode_table
 from loomspark.llm.chat import format_chats
 from loomspark.llm.embedding_dedup import near_vectors
 from loomspark.llm.exact_dedup import exact_groups
@@ -46,9 +46,7 @@ def op1_shard(spark, sf_dir):
 
 def op2_bpe(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    path = tokenizer_path()
-    ids = docs.select("doc_id", encoded(text_or_empty(), path).alias("ids"))
-    both = ids.select("doc_id", "ids", decoded(F.col("ids"), path).alias("decoded"))
+    both = encode_table(docs.select("doc_id", "text"), tokenizer_path(), decoded_col="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

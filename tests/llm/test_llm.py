@@ -133,10 +133,15 @@ def test_both_ways_of_merging_agree():
 
 def test_bpe_columns_on_odd_rows(spark, odd, none):
     path = queries.tokenizer_path()
-    got = odd.select("text", bpe.encoded(F.col("text"), path).alias("ids")).select("text", "ids", bpe.decoded(F.col("ids"), path).alias("back")).collect()
-    assert all(r.ids == [] and r.back == "" for r in got if not r.text)
-    assert max(len(r.ids) for r in got) >= 60_000
-    assert none.select(bpe.encoded(F.col("text"), path)).isEmpty()
+    got = bpe.encode_table(odd, path, ids_col="size", decoded_col="row")
+    assert sorted(got.columns) == sorted(odd.columns)
+    rows = got.collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in ODD)
+    assert all(r["size"] == [] and r["row"] == "" for r in rows if not r.text)
+    assert max(len(r["size"]) for r in rows) >= 60_000
+    again = bpe.decode_table(got, path, "size", "shard").collect()
+    assert all(r["shard"] == r["row"] for r in again)
+    assert bpe.encode_table(none, path).isEmpty()
 
 
 # embeddings
