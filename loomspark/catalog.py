@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import intervals, science, sequences, tables
+from loomspark.plans import events, intervals, science, sequences, tables
 
-_PARTS = (tables, intervals, sequences, science)
+_PARTS = (tables, intervals, sequences, science, events)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
 FLAGSHIP = "table_groupby_lineitem"

@@ -1 +1 @@
-
+"""Windows, sessions and dedup over event streams; the same functions serve batches."""
