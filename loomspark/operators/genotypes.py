@@ -81,7 +81,7 @@ def between(counts: DataFrame) -> DataFrame:
 def spectrum(counts: DataFrame, folded: bool = True) -> DataFrame:
     """How many complete sites of each population have each allele count."""
     most = counts.groupBy("pop").agg(F.max("an").alias("most"))
-    rows = counts.join(F.broadcast(most), "pop").where("an = most")
+    rows = counts.join(most, "pop").where("an = most")
     k = F.least("ac", F.col("an") - F.col("ac")) if folded else F.col("ac")
     return rows.groupBy("pop", k.alias("count")).agg(F.count(F.lit(1)).alias("sites"))
 

@@ -190,14 +190,14 @@ def slop(df: DataFrame, genome: DataFrame, left: int, right: int, stranded: bool
     minus = (F.col("strand") == "-") if stranded else F.lit(False)
     start = F.col("start") - F.when(minus, right).otherwise(left)
     end = F.col("end") + F.when(minus, left).otherwise(right)
-    return df.join(F.broadcast(genome), "chrom").withColumns({"start": F.least(F.greatest(start, F.lit(0)), F.col("size")), "end": F.greatest(F.least(end, F.col("size")), F.lit(0))}).drop("size")
+    return df.join(genome, "chrom").withColumns({"start": F.least(F.greatest(start, F.lit(0)), F.col("size")), "end": F.greatest(F.least(end, F.col("size")), F.lit(0))}).drop("size")
 
 
 def shift(df: DataFrame, genome: DataFrame, by: int) -> DataFrame:
     """Rows moved along the chrom and clipped to it, keeping at least one base."""
     start = F.greatest(F.lit(0), F.least(F.col("start") + by, F.col("size") - 1))
     end = F.greatest(F.lit(1), F.least(F.col("end") + by, F.col("size")))
-    return df.join(F.broadcast(genome), "chrom").withColumns({"start": start, "end": end}).drop("size")
+    return df.join(genome, "chrom").withColumns({"start": start, "end": end}).drop("size")
 
 
 def make_windows(df: DataFrame, size: int, step: int) -> DataFrame:
