@@ -124,49 +124,51 @@ class _Forest:
         return a != b
 
 
-def verify_unit(unit: pd.DataFrame, least_cosine: float) -> pd.DataFrame:
-    """One filter's rows, or two blocks of them (cls, weight, vector, filters, filter, block, one, two) -> counts of
-    links (v, n) and edges of a spanning forest (v, w)."""
-    x = _units(unit["vector"])
-    cls, weight, filters = unit["cls"].to_numpy(), unit["weight"].to_numpy(), unit["filters"].tolist()
-    this, block = unit["filter"].iloc[0], unit["block"].to_numpy()
-    one, two = unit["one"].iloc[0], unit["two"].iloc[0]
-    rows, cols = np.nonzero(block == one)[0], np.nonzero(block == two)[0]
+def verify_unit(x: np.ndarray, cls: np.ndarray, weight: np.ndarray, filters: list, this: int, block: np.ndarray, one: int, two: int, least_cosine: float) -> tuple[np.ndarray, list]:
+    """One filter's rows, or two blocks of them (x are unit vectors) -> each row's links and a spanning forest."""
+    rows, cols = (np.arange(len(x)),) * 2 if one == two else (np.nonzero(block == one)[0], np.nonzero(block == two)[0])
     near = x[rows] @ x[cols].T >= least_cosine
+    if one == two:
+        near = np.triu(near, 1)
     if near.any():
         lower = _lower(filters, this)
         near &= lower[rows] @ lower[cols].T == 0  # counted elsewhere if they share an earlier filter
-    near_a, near_b = np.nonzero(near)
-    a, b = rows[near_a], cols[near_b]
-    if one == two:
-        a, b = a[a < b], b[a < b]
-    n = np.bincount(a, weight[b], minlength=len(x)) + np.bincount(b, weight[a], minlength=len(x))
+    a, b = np.nonzero(near)
+    a, b = rows[a], cols[b]
+    n = np.bincount(a, weight[b], minlength=len(x)) + np.bincount(b, weight[a], minlength=len(x)) if len(a) else np.zeros(len(x))
     forest = _Forest()
-    edges = [(cls[i], cls[j]) for i, j in zip(a, b) if forest.join(cls[i], cls[j])]
-    some = n > 0
-    counts = pd.DataFrame({"v": cls[some], "w": None, "n": n[some].astype(np.int64)})
-    return pd.concat([counts, pd.DataFrame({"v": [e[0] for e in edges], "w": [e[1] for e in edges], "n": 0})])
+    return n, [e for e in zip(cls[a].tolist(), cls[b].tolist()) if forest.join(*e)]
 
 
 def _verify(least_cosine: float):
     key = ["label", "dim", "filter", "one", "two"]
 
+    def verified(b: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        """Counts of links (v, n) and edges (v, w) of the units that lie between the starts."""
+        cls, weight, filters, vectors = b["cls"].to_numpy(), b["weight"].to_numpy(), b["filters"].tolist(), b["vector"].tolist()
+        block, this, one, two = (b[c].to_numpy() for c in ("block", "filter", "one", "two"))
+        counts, edges = np.zeros(len(b)), []
+        for i, j in zip(starts, starts[1:]):
+            counts[i:j], more = verify_unit(_units(vectors[i:j]), cls[i:j], weight[i:j], filters[i:j], this[i], block[i:j], one[i], two[i], least_cosine)
+            edges += more
+        some = counts > 0
+        linked = pd.DataFrame({"v": cls[some], "w": None, "n": counts[some].astype(np.int64)})
+        return pd.concat([linked, pd.DataFrame(edges, columns=["v", "w"]).assign(n=0)]).astype({"v": "Int64", "w": "Int64", "n": "int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by unit; the last unit of a batch waits for the rest of it."""
-        out = {"v": "Int64", "w": "Int64", "n": "int64"}
         rest = None
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            change = np.r_[True, (b[key].to_numpy()[1:] != b[key].to_numpy()[:-1]).any(axis=1)] if len(b) else np.empty(0, bool)
-            starts = np.nonzero(change)[0]
-            if not len(starts):
+            if not len(b):
                 continue
-            found = [verify_unit(b.iloc[i:j], least_cosine) for i, j in zip(starts, starts[1:])]
+            keys = b[key].to_numpy()
+            starts = np.nonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])[0]
+            if len(starts) > 1:
+                yield verified(b, starts)
             rest = b.iloc[starts[-1] :]
-            if found:
-                yield pd.concat(found).astype(out)
         if rest is not None and len(rest):
-            yield verify_unit(rest, least_cosine).astype(out)
+            yield verified(rest, np.array([0, len(rest)]))
 
     return run
 
