@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 LONG = 64
-#: A worker forgets its words after a text that brought them to more than so many; longer words are never kept.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: A worker keeps at most about twice so many words, each of at most so many characters.
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 #: Ids have at most so many bits.
 SHIFT = 20
 MASK, NONE = (1 << SHIFT) - 1, 1 << 62
@@ -53,18 +53,26 @@ def byte_alphabet() -> list[str]:
 
 
 class Known(dict):
-    """Words and their ids; a word that isn't there is merged, and kept unless it is long."""
+    """Words and their ids. A word that isn't there is merged, and kept unless it is long. When there are too many, they
+    become the older ones, of which only those that are met again are taken over; the ones older than these go."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.bpe.merge_word(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.bpe.merge_word(word)
         if len(word) <= CACHE_CHARS:
             self[word] = ids
         return ids
 
+    def trim(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+
 
 class Bpe:
     """One tokenizer file, ready to encode and decode."""
@@ -145,8 +153,7 @@ class Bpe:
                 continue
             words = self.plain_words(piece.lower()) if self.plain_words and not beyond_plain(piece) else self.words(self.normal(piece))
             out.extend(chain.from_iterable(map(self.known.__getitem__, words)))
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
+            self.known.trim()
         return out
 
     def decode(self, ids) -> str:
