@@ -26,7 +26,7 @@ def stats(seqs: DataFrame, by: str) -> DataFrame:
 
 def kmer_counts(seqs: DataFrame, k: int, both_strands: bool = True) -> DataFrame:
     """How often each k-mer of only A, C, G and T occurs; canonical if both strands count as one."""
-    one = seqs.select(F.explode(dna.kmers(F.upper("seq"), k)).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
+    one = dna.kmer_rows(seqs, k)
     key = dna.canonical(F.col("kmer")) if both_strands else F.col("kmer")
     return one.groupBy(key.alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -60,7 +60,7 @@ def rereplicate(seqs: DataFrame) -> DataFrame:
 def sketch(seqs: DataFrame, k: int, scaled: int) -> DataFrame:
     """FracMinHash: of each id the distinct hashes of canonical k-mers in the lowest 1/scaled of all hashes, with how
     often they occur. The hash is the first 60 bits of the k-mer's MD5."""
-    one = seqs.select("id", F.explode(dna.kmers(F.upper("seq"), k)).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
+    one = dna.kmer_rows(seqs, k, "id")
     number = F.conv(F.substring(F.md5(dna.canonical(F.col("kmer"))), 1, 15), 16, 10).cast("long")
     return one.select("id", number.alias("hash")).where(F.col("hash") < F.lit((1 << 60) // scaled)).groupBy("id", "hash").agg(F.count(F.lit(1)).alias("abundance"))
 
