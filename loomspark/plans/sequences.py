@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import dna
 from loomspark.operators import sequences as S
-from loomspark.session import read_table
+from loomspark.session import read_table, spread
 
 #: Letters of texts stand for bases; everything else is left out.
 FROM, TO = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -15,7 +15,7 @@ K, SCALED = 21, 50
 
 def seqs(spark, sf_dir):
     letters = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", ""), FROM, TO)
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return docs.select(F.col("doc_id").alias("id"), "lang", letters.alias("seq"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("label"), F.col("doc_id").alias("ord"))
 
 

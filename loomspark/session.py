@@ -25,3 +25,9 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df):
+    """df over as many partitions as there are cores, if its few input splits would leave cores idle; else df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def duck(sf_dir=SF):
