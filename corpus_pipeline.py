@@ -10,7 +10,7 @@ from loomspark.llm.common import written
 from loomspark.llm.exact_dedup import drop_exact_copies
 from loomspark.llm.mixing import Mixture
 from loomspark.llm.queries import tokenizer_path
-from loomspark.llm.simhash import drop_near_copies
+from loomspark.llm.similar import drop_similar
 from loomspark.llm.toxicity import drop_toxic
 from loomspark.session import read_table
 
@@ -26,8 +26,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays."""
-    return drop_near_copies(docs)
+    """Of each group of near copies (five-word shingles, Jaccard of at least 0.8) one document stays."""
+    return drop_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

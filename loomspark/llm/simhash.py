@@ -142,11 +142,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best.id").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one of each component: the one with the smallest id (of repeats of it, one)."""
-    rows = fingerprints(docs, id_col, text_col)
-    stay = written(near_components(rows).select("best.id", "best.mark").distinct(), "simhash-kept")
+def keep_best(docs: DataFrame, components: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that components (best: id and mark) name, of repeats one."""
+    stay = written(components.select("best.id", "best.mark").distinct(), "near-kept")
     stay = stay.select(F.col("id").alias("at_id"), F.col("mark").alias("at_mark"))
     marked = docs.select(whole_row(docs)).select("row", F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(text_or_empty(f"row.`{text_col}`")).alias("mark"))
     kept = marked.join(stay, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("mark") == F.col("at_mark")), "left_semi")
     return kept.dropDuplicates(["id", "mark"]).select("row.*")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, one of each component: the one with the smallest id (of repeats of it, one)."""
+    return keep_best(docs, near_components(fingerprints(docs, id_col, text_col)), id_col, text_col)
