@@ -65,13 +65,13 @@ def op4_toxicity(spark, sf_dir):
     return graded.select("row.doc_id", F.round("severity", 9).alias("severity"), F.round("p_toxic", 9).alias("p_toxic"), "grade", "rejected")
 
 
-#: Pages of hosts whose first label is this are listed, by their canonical URL, as URLs to block.
+#: Pages of hosts with this label, in any place, are listed, by their canonical URL, as URLs to block.
 LISTED_LABEL = "spam-farm"
 
 
 def op5_url_filter(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where(F.col("host").startswith(LISTED_LABEL + "."))
+    listed = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where(F.array_contains(F.split("host", r"\."), LISTED_LABEL))
     return judge_urls(pages, listed=listed).select("page.page_id", "host", "path", "rule", "verdict")
 
 
