@@ -30,12 +30,14 @@ def _plain(c: str) -> Column:
 
 def prefix_chains(turns: DataFrame) -> DataFrame:
     """(conv_id, hashes): for every conversation the hash of each of its prefixes, shortest first."""
-    turn_hash = F.sha2(F.concat(F.octet_length(_plain("role")).cast("string"), F.lit(":"), _plain("role"), _plain("text")), 256)
-    rows = turns.select("conv_id", F.struct("turn", _plain("role").alias("role"), F.unhex(turn_hash).alias("digest")).alias("t"))
-    ordered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_set("t")).alias("ts"))
+    rows = turns.select("conv_id", F.struct("turn", _plain("role").alias("role"), _plain("text").alias("text")).alias("t"))
+    ordered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_set("t")).alias("ts"))  # by text, not by its hash
+
+    def digest(t: Column) -> Column:
+        return F.unhex(F.sha2(F.concat(F.octet_length(t["role"]).cast("string"), F.lit(":"), t["role"], t["text"]), 256))
 
     def step(hashes: Column, t: Column) -> Column:
-        return F.array_append(hashes, F.unhex(F.sha2(F.concat(F.element_at(hashes, -1), t["digest"]), 256)))
+        return F.array_append(hashes, F.unhex(F.sha2(F.concat(F.element_at(hashes, -1), digest(t)), 256)))
 
     chain = F.aggregate("ts", F.array(F.lit(b"")), step)
     return ordered.select("conv_id", F.slice(chain, 2, F.size("ts")).alias("hashes"))
