@@ -1,16 +1,20 @@
 """Token-ID output: documents packed into rows of a fixed number of tokens, as binary matrices.
 
-Each partition of the input reads its documents in windows of at most WINDOW tokens. A document longer than a row is
-split, without loss, into pieces of a whole row and one rest. The window's pieces are packed best-fit decreasing: the
-longest first, each into the row with the least room that still takes it. Rows are searched by a segment tree over the
-amounts of room (0 to `length`), which holds how many open rows have each amount: the smallest amount that is large
-enough and has a row is found in a number of steps that is the logarithm of the row length.
+A document longer than a row is split, without loss, into pieces of a whole row and one rest; a whole piece is a row of
+its own. The rests of the whole table are packed best-fit decreasing: the longest first, each into the row with the
+least room that still takes it. Rests of one length are alike to the packing, so it works on how many there are of each
+length, at most `length` numbers, whatever the size of the table: runs of rows that are filled alike are one entry. The
+room is searched by a segment tree over the amounts of room (0 to `length`), which finds the smallest amount that is
+large enough and has a run in a number of steps that is the logarithm of the row length. The plan says for every rank
+among the rests of a length which row and place it gets, and each rest goes to its row in one shuffle.
+
+Ranks count the rests of a length by the task that wrote them and their order in it: running sums over one number for
+each task and length. Other input splits give the same rows but for which of the rests of a length are where.
 
 Each packed row holds the ids and the positions (which start again from 0 with each piece) as little-endian unsigned
 integers of 16 bits, or of 32 where a vocabulary or a row needs them; unused places at the end hold `pad` and position
 0. cu_seqlens has the cumulative lengths of the pieces, from 0; doc_ids, parts and n_parts say which piece of which
-document each is. Nothing is shuffled, so a row's documents are near each other in the input, and a lost task writes
-the same rows again from the same partition. The last rows of a window may be partly filled.
+document each is.
 
 Defined results: documents without tokens (null or empty text) take no place in a row and are not listed. A null id
 stays null. Repeated rows are packed each. An empty table gives no rows. Other columns are left alone.
@@ -22,17 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.bpe import loaded
-from loomspark.llm.common import text_or_empty
+from loomspark.llm.bpe import loaded, slices
+from loomspark.llm.common import small_batches, text_or_empty, written
 
-LENGTH, WINDOW = 2048, 4_000_000
-SCHEMA = (
-    "pack_id string, n_used int, doc_ids array<long>, parts array<int>, n_parts array<int>, cu_seqlens array<int>, "
-    "ids binary, position_ids binary"
-)
+LENGTH = 2048
+PIECES = "doc_id long, part int, n_parts int, size int, nth long, task int, ids binary"
 
 
 class RoomTree:
@@ -62,62 +64,128 @@ class RoomTree:
         return i - self.size
 
 
-def best_fit_decreasing(lengths: list[int], length: int) -> list[list[int]]:
-    """The pieces (their numbers) of each row. Equal pieces and equal rooms are taken in order."""
-    rows: list[list[int]] = []
-    by_room: list[list[int]] = [[] for _ in range(length + 1)]
+def best_fit_decreasing(counts: dict[int, int], length: int) -> list[tuple[int, int, int, int, int]]:
+    """How many pieces there are of each size -> the plan: (size, rank, row, offset, each).
+
+    An entry holds for the pieces of a size from a rank on, up to the next entry: they fill the rows from `row` on,
+    `each` of them in every row, one after the other from the place `offset` on.
+    """
+    plan, n_rows = [], 0
+    by_room: list[list[tuple[int, int]]] = [[] for _ in range(length + 1)]  # runs (first row, number of rows)
     tree = RoomTree(length)
-    for piece in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        room = tree.least(lengths[piece])
-        if room < 0:
-            room, row = length, len(rows)
-            rows.append([])
-        else:
-            row = by_room[room].pop()
-            tree.add(room, -1)
-        rows[row].append(piece)
-        by_room[room - lengths[piece]].append(row)
-        tree.add(room - lengths[piece], 1)
-    return rows
-
-
-def _packed(window: list, length: int, width: str, pad: int, name: str) -> pd.DataFrame:
-    """window: (doc_id, part, n_parts, ids) of each piece."""
-    out = []
-    for k, row in enumerate(best_fit_decreasing([len(p[3]) for p in window], length)):
-        pieces = [window[i] for i in row]
-        cu = np.cumsum([0] + [len(p[3]) for p in pieces])
-        ids, positions = np.full(length, pad, width), np.zeros(length, width)
-        for p, at in zip(pieces, cu):
-            ids[at : at + len(p[3])] = p[3]
-            positions[at : at + len(p[3])] = np.arange(len(p[3]))
-        out.append((f"{name}-{k}", int(cu[-1]), [p[0] for p in pieces], [p[1] for p in pieces], [p[2] for p in pieces], cu.tolist(), ids.tobytes(), positions.tobytes()))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WINDOW, pad: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The packed rows of all documents."""
-    if length < 1 or window < 1:
-        raise ValueError("length and window must be positive")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(tokenizer)
-        width = "<u2" if max(max(bpe.tokens), length, pad) < 1 << 16 else "<u4"
-        held, n, k = [], 0, 0
-        for b in batches:
-            for part, doc, text in zip(b["part"], b["id"], b["text"]):
-                ids = np.array(bpe.encode(text), dtype=width)
-                starts = range(0, len(ids), length)
-                held += [(None if pd.isna(doc) else int(doc), i, len(starts), ids[at : at + length]) for i, at in enumerate(starts)]
-                n += len(ids)
-                if n >= window:
-                    yield _packed(held, length, width, pad, f"{part}-{k}")
-                    held, n, k = [], 0, k + 1
-        if held:
-            yield _packed(held, length, width, pad, f"{part}-{k}")
-
-    rows = docs.select(F.spark_partition_id().alias("part"), F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
-    return rows.mapInPandas(run, SCHEMA)
+    def put(room: int, row: int, n: int) -> None:
+        if n:
+            by_room[room].append((row, n))
+            tree.add(room, 1)
+
+    for size in sorted(counts, reverse=True):
+        left, rank = counts[size], 0
+        while left:
+            room = tree.least(size)
+            if room < 0:
+                room, run = length, (n_rows, -(-left // (length // size)))
+                n_rows += run[1]
+            else:
+                run = by_room[room].pop()
+                tree.add(room, -1)
+            row, n = run
+            each = room // size
+            full, some = min(n, left // each), 0
+            if full:
+                plan.append((size, rank, row, length - room, each))
+                put(room - each * size, row, full)
+            if full < n and left > full * each:  # one row that the last pieces don't fill
+                some = left - full * each
+                plan.append((size, rank + full * each, row + full, length - room, some))
+                put(room - some * size, row + full, 1)
+            put(room, row + full + (some > 0), n - full - (some > 0))
+            rank += full * each + some
+            left -= full * each + some
+    return plan
+
+
+def _pieces(docs: DataFrame, tokenizer: str, length: int, id_col: str, text_col: str) -> DataFrame:
+    """Every piece of every document, with its number among the pieces of its size that its task writes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, seen = loaded(tokenizer), np.zeros(length + 1, np.int64)
+        for batch in batches:
+            for some in slices(batch, 2):
+                texts = [bpe.encode_all([t])[0] for t in some.column(2).to_pylist()] if some.num_rows == 1 else bpe.encode_all(some.column(2).to_pylist())
+                sizes = np.array([len(t) for t in texts])
+                n_parts = -(-sizes // length)
+                doc = np.repeat(np.arange(len(texts)), n_parts)
+                part = np.arange(len(doc)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
+                size = np.minimum(length, sizes[doc] - part * length)
+                nth = seen[size] + pd.Series(size).groupby(size).cumcount().to_numpy()
+                seen += np.bincount(size, minlength=length + 1)
+                ids = [texts[d][p * length : (p + 1) * length].tobytes() for d, p in zip(doc.tolist(), part.tolist())]
+                columns = [some.column(1).take(pa.array(doc)), part.astype(np.int32), n_parts[doc].astype(np.int32), size.astype(np.int32), nth, some.column(0).take(pa.array(doc)), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[c.split()[0] for c in PIECES.split(", ")])
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.spark_partition_id().alias("task"), F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
+    return written(rows.mapInArrow(run, PIECES), "pack-pieces")
+
+
+def _place(plan: list[tuple[int, int, int, int, int]]):
+    """A function of size and rank that gives row and offset. The plan has a few entries for each size at most."""
+    size, first, row, offset, each = (np.array(c, np.int64) for c in zip(*sorted(plan)))
+    keys = size << 44 | first
+
+    @F.pandas_udf("row long, offset int")
+    def place(sizes: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        at = np.searchsorted(keys, sizes.to_numpy(np.int64) << 44 | ranks.to_numpy(), side="right") - 1
+        nth = ranks.to_numpy() - first[at]
+        return pd.DataFrame({"row": row[at] + nth // each[at], "offset": (offset[at] + nth % each[at] * size[at]).astype(np.int32)})
+
+    return place
+
+
+def _numbers(n: int, width: int) -> Column:
+    """0, 1, .. n - 1 as packed numbers."""
+    return F.lit(bytearray(np.arange(n, dtype=f"<u{width}").tobytes()))
+
+
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, pad: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The packed rows of all documents: pack_id, n_used, doc_ids, parts, n_parts, cu_seqlens, ids, position_ids."""
+    if length < 1:
+        raise ValueError("length must be positive")
+    width = int(loaded(tokenizer).width[-1])
+    if max(length, pad) >> 8 * width:
+        raise ValueError(f"length and pad must fit in {8 * width} bits, like the ids")
+    pieces = _pieces(docs, tokenizer, length, id_col, text_col)
+    counts = pieces.groupBy("task", "size").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("size").orderBy("task")) - F.col("n")
+    firsts = written(counts.select("task", "size", "n", before.alias("first")), "pack-counts")
+    found = {r["size"]: r["n"] for r in firsts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most `length` rows
+    whole = found.pop(length, 0)
+    plan = best_fit_decreasing(found, length) or [(length, 0, 0, 0, 1)]
+    ranked = pieces.join(firsts.drop("n"), ["task", "size"]).withColumn("rank", F.col("first") + F.col("nth"))
+    own = F.struct(F.lit(0).alias("offset"), "size", "doc_id", "part", "n_parts", "ids")
+    full = ranked.where(F.col("size") == length).select(F.col("rank").alias("pack_id"), F.array(own).alias("pieces"))
+    rests = ranked.where(F.col("size") < length).withColumn("at", _place(plan)("size", "rank"))
+    rests = rests.select((F.col("at.row") + whole).alias("pack_id"), F.struct("at.offset", "size", "doc_id", "part", "n_parts", "ids").alias("piece"))
+    both = full.unionByName(rests.groupBy("pack_id").agg(F.sort_array(F.collect_list("piece")).alias("pieces")))
+
+    def joined(f) -> Column:
+        return F.aggregate("pieces", F.lit(bytearray()), lambda a, p: F.concat(a, f(p)))
+
+    used = (F.element_at("pieces", -1)["offset"] + F.element_at("pieces", -1)["size"]).cast("int")
+    rest = (length - F.col("n_used")) * width
+    padding, zeros = (F.lit(bytearray(np.full(length, v, f"<u{width}").tobytes())) for v in (pad, 0))
+    each = both.select("pack_id", used.alias("n_used"), "pieces")
+    return each.select(
+        "pack_id",
+        "n_used",
+        F.col("pieces.doc_id").alias("doc_ids"),
+        F.col("pieces.part").alias("parts"),
+        F.col("pieces.n_parts").alias("n_parts"),
+        F.concat("pieces.offset", F.array("n_used")).alias("cu_seqlens"),
+        F.concat(joined(lambda p: p["ids"]), F.substring(padding, F.lit(1), rest)).alias("ids"),
+        F.concat(joined(lambda p: F.substring(_numbers(length, width), F.lit(1), p["size"] * width)), F.substring(zeros, F.lit(1), rest)).alias("position_ids"),
+    )
 
 
 def unpack(packed: DataFrame, wide: bool = False) -> DataFrame:

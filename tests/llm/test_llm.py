@@ -119,16 +119,35 @@ def test_bpe_on_odd_texts(theirs):
     alphabet = list("abcdefgh   's'tre'll don't 0123 \n\t") + ["<|endoftext|>", "<|startoftext|>", "<|", "Σ", "ΑΣ ", "İ", "é", "e\u0301", "\x1c", "\x85", "中文", "😀"]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.choice((1, 5, 60)))) for _ in range(1500)] + ["ab" * 3000, "é" * 999, LONG]
     for text in texts:
-        ids = mine.encode(text)
+        ids = mine.encode(text).tolist()
         assert ids == theirs.encode(text, add_special_tokens=False).ids, text[:50]
         assert mine.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
 
 
 def test_both_ways_of_merging_agree():
     mine, rnd = bpe.Bpe(queries.tokenizer_path()), random.Random(3)
-    for _ in range(300):
-        ids = [mine.first[b] for b in "".join(rnd.choice("theinaro") for _ in range(rnd.randint(1, 40))).encode()]
-        assert mine._by_scan(list(ids)) == mine._by_heap(list(ids))
+    words = ["".join(rnd.choice("theinaroé") for _ in range(rnd.randint(1, 40))).encode() for _ in range(300)]
+    for word, got in zip(words, mine._by_scan(words)):
+        ids = [*mine.first[list(word[:-1])].tolist(), int(mine.last[word[-1]])]
+        assert np.frombuffer(got, mine.width).tolist() == mine._by_heap(ids)
+
+
+def test_every_code_point_is_read_as_the_library_reads_it(theirs):
+    mine = bpe.Bpe(queries.tokenizer_path())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 40_000):
+        texts = [form % chr(c) for c in points[at : at + 40_000] for form in ("a%sb", "%s", "a%s\u0301\u0323 1")]
+        want = theirs.encode_batch(texts, add_special_tokens=False)
+        assert all(got.tolist() == w.ids for got, w in zip(mine.encode_all(texts), want))
+
+
+def test_words_outlive_the_cache(theirs, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    monkeypatch.setattr(bpe, "SLICE_WORDS", 7)
+    monkeypatch.setattr(bpe, "PIECE", 20)
+    mine, rnd = bpe.Bpe(queries.tokenizer_path()), random.Random(9)
+    texts = [" ".join(rnd.choice(["der", "Bär", "x" * 70, "a'll", "\u0301e", "<|endoftext|>", "12 "]) for _ in range(rnd.randint(0, 60))) for _ in range(60)]
+    assert [x.tolist() for x in mine.encode_all(texts)] == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_bpe_columns_on_odd_rows(spark, odd, none):
@@ -297,45 +316,69 @@ def test_exact_filter_keeps_one_row_of_each_text(odd, none):
 # packing
 
 
+def room_by_the_plain_rule(lengths, length):
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in range(len(room)) if room[r] >= n]
+        if fits:
+            room[min(fits, key=lambda r: room[r])] -= n
+        else:
+            room.append(length - n)
+    return sorted(room)
+
+
 def test_best_fit_decreasing_is_the_plain_rule():
     rnd = random.Random(6)
-    for _ in range(60):
-        lengths = [rnd.randint(1, 50) for _ in range(rnd.randint(0, 80))]
-        rows, room = [], []
-        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-            fits = [r for r in range(len(rows)) if room[r] >= lengths[i]]
-            if fits:
-                least = min(room[r] for r in fits)
-                r = next(r for r in fits if room[r] == least)
-            else:
-                r = len(rows)
-                rows.append([])
-                room.append(50)
-            rows[r].append(i)
-            room[r] -= lengths[i]
-        got = packing.best_fit_decreasing(lengths, 50)
-        assert sorted(i for r in got for i in r) == list(range(len(lengths)))
-        assert sorted(50 - sum(lengths[i] for i in r) for r in got) == sorted(room)
-
-
-def test_packing_is_lossless(spark, odd, none):
-    path = queries.tokenizer_path()
-    packed = packing.pack(odd, path, length=128, window=5000)
-    mine = bpe.Bpe(path)
-    for r in packed.collect():
-        cu = r.cu_seqlens
-        ids, positions = np.frombuffer(r.ids, "<u2"), np.frombuffer(r.position_ids, "<u2")
-        assert len(ids) == len(positions) == 128 and cu[0] == 0 and cu[-1] == r.n_used
+    for _ in range(300):
+        lengths = Counter(rnd.randint(1, rnd.choice((5, 50))) for _ in range(rnd.randint(0, 80)))
+        plan = sorted(packing.best_fit_decreasing(lengths, 50))
+        places = defaultdict(set)
+        for (size, rank, row, offset, each), after in zip(plan, [*plan[1:], (0, 0)]):
+            for k in range((after[1] if after[0] == size else lengths[size]) - rank):
+                place = set(range(start := offset + k % each * size, start + size))
+                assert not places[row + k // each] & place and max(place) < 50
+                places[row + k // each] |= place
+        assert sum(map(len, places.values())) == sum(k * n for k, n in lengths.items())
+        assert sorted(50 - len(p) for p in places.values()) == room_by_the_plain_rule(lengths.elements(), 50)
+
+
+def check_packed(rows, mine, texts, length):
+    """rows are right, hold all of texts (id, text), and are as full as the plain rule makes them."""
+    pieces, room = defaultdict(list), []
+    for r in rows:
+        cu, ids, positions = r.cu_seqlens, np.frombuffer(r.ids, "<u2"), np.frombuffer(r.position_ids, "<u2")
+        assert len(ids) == len(positions) == length and cu[0] == 0 and cu[-1] == r.n_used
         assert positions[: r.n_used].tolist() == [k for i, j in zip(cu, cu[1:]) for k in range(j - i)]
         assert not positions[r.n_used :].any() and not ids[r.n_used :].any()
-    pieces = defaultdict(list)
-    for r in packing.unpack(packed).collect():
-        pieces[r.doc_id].append((r.part, r.n_parts, r.ids))
-    for doc in (1, 4, 5):
-        parts = sorted(pieces[doc])
-        assert [p[0] for p in parts] == list(range(parts[0][1]))
-        assert sum((p[2] for p in parts), []) == mine.encode(next(r[1] for r in ODD if r[0] == doc))
+        room.append(length - r.n_used)
+        for doc, part, n, i, j in zip(r.doc_ids, r.parts, r.n_parts, cu, cu[1:]):
+            pieces[doc].append((part, n, ids[i:j].tolist()))
+    want, sizes = defaultdict(list), []
+    for doc, text in texts:
+        ids = mine.encode(text or "").tolist()
+        parts = [ids[at : at + length] for at in range(0, len(ids), length)]
+        want[doc] += [(k, len(parts), p) for k, p in enumerate(parts)]
+        sizes += map(len, parts)
+    assert {d: sorted(p) for d, p in pieces.items()} == {d: sorted(p) for d, p in want.items() if p}
+    assert len({r.pack_id for r in rows}) == len(rows)
+    assert sorted(room) == room_by_the_plain_rule(sizes, length)
+
+
+def test_packing_of_odd_rows(odd, none):
+    path = queries.tokenizer_path()
+    packed = packing.pack(odd.repartition(3), path, length=128)
+    check_packed(packed.collect(), bpe.Bpe(path), [r[:2] for r in ODD], 128)
+    assert sum(len(r.ids) for r in packing.unpack(packed).collect() if r.doc_id == 4) == len(bpe.Bpe(path).encode(LONG))
     assert packing.pack(none, path).isEmpty()
+    with pytest.raises(ValueError):
+        packing.pack(odd, path, length=1 << 16)
+
+
+def test_op7(spark):
+    rows = queries.op7_pack_tokens(spark, SF).collect()
+    texts = duck().sql("SELECT doc_id, text FROM documents").fetchall()
+    check_packed(rows, bpe.Bpe(queries.tokenizer_path()), texts, packing.LENGTH)
+    assert sum(r.n_used for r in rows) >= 0.99 * (len(rows) - 1) * packing.LENGTH
 
 
 # mixing
