@@ -193,6 +193,12 @@ class Mixture:
         return one.select("row", "draw.shard", "draw.epoch", F.xxhash64(F.lit(self.seed), "order", "draw.epoch").alias("place"))
 
 
+def shuffled(mixture: Mixture) -> DataFrame:
+    """The mix with its input's columns alone: the rows of every partition by shard, and in random order within it, so
+    that copies of a document don't stay side by side."""
+    return mixture.mixed().sortWithinPartitions("shard", "place").select("row.*")
+
+
 def write_shards(mixture: Mixture, path: str) -> None:
     """The mix as one folder of Parquet files for each shard, the rows of a file in random order."""
     mix = mixture.mixed().repartition(mixture.shards * 4, "shard", F.pmod("place", F.lit(64)))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from loomspark.llm.common import text_or_empty, whole_row, written
+from loomspark.llm.common import small_batches, text_or_empty, whole_row, written
 from loomspark.llm.components import connected_components
 
 SHINGLE, SEED, BITS, RADIUS, SEGMENTS = 3, 42, 64, 2, 5
@@ -131,6 +131,7 @@ def near_components(rows: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, fp) of every row, written once; mark is a hash of the text."""
     text = text_or_empty(f"`{text_col}`")
+    small_batches(docs.sparkSession)
     return written(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("mark"), simhash(text).alias("fp")), "simhash-rows")
 
 

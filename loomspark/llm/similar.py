@@ -1,17 +1,21 @@
-"""Near-dedup by the Jaccard similarity of word shingles, for pipelines.
+"""SimHash near-dedup by the similarity of word shingles, for pipelines: long fingerprints, pigeonring, verification.
 
 Two documents are near copies if the sets of their shingles (words split by ASCII white space, ASCII lower case; a text
-of fewer words is one shingle) have a Jaccard similarity of at least `similarity`. SimHash with a small radius (the
-module simhash) finds only texts that are all but identical, and a radius wide enough for a similarity of 0.8 (some 17
-of 64 bits) leaves segments that nearly all pairs share. So candidates meet by MinHash instead: BANDS bands of as many
-minima as keep the recall at the least similarity over RECALL. Every candidate is then verified on the sets themselves,
-as sorted 64-bit hashes of the shingles.
-
-Equal sets are one row from the start. A band's documents are verified in units of the smallest of them and up to about
-BLOCK others, sets that several bands bring together once. Where that splits a band into several units, and it then
-still holds more than one component, its largest component's blocks meet the blocks of the rest, and these each other.
-So nothing is dropped or capped, and the work for a large group of near copies grows in proportion to it; only many
-documents that share a band without being near copies meet in pairs of blocks.
+of fewer words is one shingle) have a Jaccard similarity of at least `similarity`. Their fingerprints then differ in
+some 15 % of the bits at a similarity of 0.8, far more than the two of 64 that the module simhash looks for, so the
+fingerprints are longer here. They are rings of `segments` segments of `width` bits each: the width grows with the
+logarithm of the number of rows, so that few unlike documents agree in a segment, and there are as many segments as a
+pair at the least similarity needs to agree in one and keep the chain's budget with the probability RECALL.
+
+Documents meet in the segments in which they agree. The chain of segments that follows such a one, as far as 64 bits
+reach, must keep its cumulative differences within l/segments of the radius at each length l; pairs whose chain breaks
+its budget are pruned. The others go on to the whole Hamming distance and at last to the sets themselves, as sorted
+64-bit hashes of the shingles, so nothing but near copies is linked.
+
+Equal sets are one row from the start. A segment's bucket of up to DENSE documents gives its pairs. In a larger one, as
+large groups of near copies have, the documents meet two of their number first. What then isn't in the bucket's largest
+component yet meets all of the bucket, in blocks; so the work for a large group grows in proportion to it, and nothing
+is dropped or capped.
 
 Defined results: null text counts as empty, and texts without words are copies of each other; links are transitive; of
 a component the row with the smallest id stays (null last; of repeats of it, one). Empty tables are fine, and other
@@ -20,51 +24,86 @@ columns are left alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import text_or_empty, written
+from loomspark.llm.common import small_batches, text_or_empty, written
 from loomspark.llm.components import connected_components
 from loomspark.llm.simhash import keep_best
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, RECALL, BLOCK = 20, 0.999, 64
-#: Shingles whose minima are taken at once.
-CHUNK = 1 << 12
-
-
-def band_rows(similarity: float) -> int:
-    """The most minima a band can have for RECALL at the least similarity."""
-    fit = [r for r in range(1, 65) if 1 - (1 - similarity**r) ** BANDS >= RECALL]
-    if not fit or similarity > 1:
-        raise ValueError(f"similarity {similarity} is out of the range that {BANDS} bands can search")
-    return fit[-1]
+RECALL, DENSE, BLOCK = 0.995, 64, 64
+#: The share of differing bits that segments are planned for, and the radius, against what is expected of long texts.
+#: Short texts, whose votes are often tied, differ in more bits.
+MARGIN, RADIUS = 1.1, 1.45
+#: Shingles whose votes are counted at once: so many fit in a byte.
+CHUNK = 255
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Plan:
+    """Width and number of the segments for a number of documents, the radius and the chain's budgets."""
+
+    def __init__(self, rows: int, similarity: float):
+        if not 0.5 <= similarity < 1:
+            raise ValueError("similarity must be from 0.5 up to, but not including, 1")
+        differing = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        self.similarity, self.width = similarity, min(30, max(12, math.ceil(math.log2(rows + 1)) - 2))
+        self.follow = 64 // self.width
+        agree = (1 - MARGIN * differing) ** self.width * 0.97  # of these, the chain keeps its budget in more than 97 %
+        self.segments = max(self.follow + 1, math.ceil(math.log(1 - RECALL) / math.log(1 - agree)))
+        self.words = -(-self.segments * self.width // 64)
+        self.radius = int(RADIUS * differing * self.segments * self.width)
+
+    def budget(self, length: int) -> int:
+        return length * self.radius // self.segments
+
+    def masks(self) -> list[tuple[int, int]]:
+        """For every length of the chain the bits of its followers, as a signed long, and its budget."""
+        out = []
+        for n in range(1, self.follow + 1):
+            bits = (1 << n * self.width) - 1
+            out.append((bits - (1 << 64) if bits >> 63 else bits, self.budget(n + 1)))
+        return out
+
+    def in_budget(self, differing: Column) -> Column:
+        out = F.lit(True)
+        for mask, most in self.masks():
+            out &= F.bit_count(differing.bitwiseAND(F.lit(mask))) <= most
+        return out
 
 
 def shingles(text: str, size: int) -> np.ndarray:
     """The sorted, distinct hashes of a text's shingles."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    grams = zip(*[words[i:] for i in range(size)]) if len(words) >= size else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams), np.uint64))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = min(size, len(words))
+    out = np.full(max(1, len(words) - size + 1), np.uint64(n))
+    for i in range(n):
+        out = mixed(out * STEP ^ hashes[i : i + len(out)])
+    return np.unique(out)
 
 
-@lru_cache(maxsize=8)
-def _factors(n: int) -> np.ndarray:
-    return np.random.default_rng(SEED).integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ x >> np.uint64(33)
 
 
-def bands(hashes: np.ndarray, similarity: float) -> list[int]:
-    """A key for each band, as signed longs."""
-    n = band_rows(similarity)
-    factors = _factors(BANDS * n)[:, None]
-    least = np.min([(hashes[None, i : i + CHUNK] * factors).min(axis=1) for i in range(0, len(hashes), CHUNK)], axis=0).reshape(BANDS, n)
-    return [int(np.array(xxhash.xxh64_intdigest(row.tobytes(), at), np.uint64).astype(np.int64)) for at, row in enumerate(least)]
+def fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """words * 64 bits, each set if more than half of the shingles vote for it."""
+    votes, turn = np.zeros(words * 64, np.int64), np.arange(1, words + 1, dtype=np.uint64) * STEP
+    for at in range(0, len(hashes), CHUNK):
+        bits = np.unpackbits(mixed(hashes[at : at + CHUNK, None] + turn).view(np.uint8), axis=1, bitorder="little")
+        votes += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(hashes), bitorder="little")
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -75,78 +114,143 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (small + large - common)
 
 
-def unit_links(fps: list[int], labels: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that join what all pairs of a unit's near copies join; rows of one label are joined already."""
-    members, out = {}, []
-    for at, label in enumerate(labels):
-        members.setdefault(label, []).append(at)
-    groups = []
-    for new in members.values():
-        joined, apart = new, []
-        for old in groups:
-            link = next(((a, b) for a in new for b in old if similar(sets[a], sets[b], similarity)), None)
-            if link is None:
-                apart.append(old)
-            else:
-                out.append((fps[link[0]], fps[link[1]]))
-                joined = joined + old
-        groups = [*apart, joined]
-    return out
-
-
-def _verified(units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """units (unit, fp, label), sets (fp, hashes) -> links (a, b)."""
-
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
-        found = unit_links(rows["fp"].tolist(), rows["label"].tolist(), [np.frombuffer(h, np.uint64) for h in rows["hashes"]], similarity)
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
-
-    return units.join(sets, "fp").select("unit", "fp", "label", "hashes").groupBy("unit").applyInPandas(links, "a long, b long").distinct()
-
-
-def _blocks(n: str) -> Column:
-    return F.ceil(F.col(n) / BLOCK)
-
-
-def links(prints: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """prints (fp, bands), distinct -> links (a, b); sets_of gives the sets (fp, hashes) of a table of fps."""
-    keyed = prints.select("fp", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("pivot")).where("n > 1").drop("n")
-    shared = written(keyed.join(sizes, "key"), "similar-bands")
-    sets = written(sets_of(shared.select("fp").distinct()), "similar-sets")
-    stars = written(shared.where("fp != pivot").select("pivot", "fp").distinct(), "similar-stars")
-    chunks = written(stars.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).select("pivot", _blocks("n").alias("chunks")), "similar-pivots")
-    dealt = stars.join(chunks, "pivot").select("pivot", F.pmod(F.xxhash64("fp"), "chunks").alias("chunk"), "fp")
-    centres = chunks.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("fp"))
-    units = dealt.unionAll(centres).select(F.struct("pivot", "chunk").alias("unit"), "fp", F.col("fp").alias("label"))
-    first = written(_verified(units, sets, similarity), "similar-links")
-    split = shared.join(chunks.where("chunks > 1").select("pivot"), "pivot", "left_semi").select("key", "fp")
-    if split.isEmpty():
+def ring(bits: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints (rows of bytes) -> the value of each segment and the up to 64 bits that follow it on the ring."""
+    flat = np.unpackbits(bits, axis=1, bitorder="little")[:, : plan.segments * plan.width]
+    weights = np.uint64(1) << np.arange(plan.width, dtype=np.uint64)
+    values = (flat.reshape(len(bits), plan.segments, plan.width).astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64)
+    after = np.zeros_like(values)
+    for k in range(plan.follow):
+        after |= np.roll(values, -1 - k, axis=1) << np.uint64(k * plan.width)
+    return values, after
+
+
+def _keyed(prints: DataFrame, plan: Plan) -> DataFrame:
+    """prints (fp, bits) -> (segment, value, after, fp) for each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                values, after = ring(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), plan)
+                segment = np.tile(np.arange(plan.segments, dtype=np.int32), b.num_rows)
+                fp = np.repeat(b.column(0).to_numpy(), plan.segments)
+                yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(values.ravel().astype(np.int32)), pa.array(after.ravel().view(np.int64)), pa.array(fp)], names=["segment", "value", "after", "fp"])
+
+    return prints.select("fp", "bits").mapInArrow(run, "segment int, value int, after long, fp long")
+
+
+def _pairs(rows: DataFrame, plan: Plan) -> DataFrame:
+    """rows (segment, value, after, fp) of small buckets -> the pairs (a, b) whose chain keeps its budget."""
+
+    def found(segment: np.ndarray, value: np.ndarray, after: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        begins = np.flatnonzero(np.r_[True, (segment[1:] != segment[:-1]) | (value[1:] != value[:-1])])
+        ends = np.repeat(np.r_[begins[1:], len(fp)], np.diff(np.r_[begins, len(fp)]))
+        others = ends - np.arange(len(fp)) - 1  # every row meets those of its bucket that come after it
+        one = np.repeat(np.arange(len(fp)), others)
+        two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(others) - others, others)
+        differing = after[one] ^ after[two]
+        ok = np.ones(len(one), bool)
+        for mask, most in plan.masks():
+            ok &= np.bitwise_count((differing & mask).view(np.uint64)) <= most
+        a, b = fp[one[ok]], fp[two[ok]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket; the last bucket of a batch waits for the rest of it."""
+        rest = [np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
+        for b in batches:
+            rows = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, b.columns)]
+            if not len(rows[0]):
+                continue
+            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            cut = last[-1] + 1 if len(last) else 0
+            if cut:
+                yield found(*[r[:cut] for r in rows])
+            rest = [r[cut:] for r in rows]
+        if len(rest[0]):
+            yield found(*rest)
+
+    dealt = rows.select("segment", "value", "after", "fp").repartition("segment", "value").sortWithinPartitions("segment", "value")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _star_pairs(large: DataFrame, plan: Plan) -> DataFrame:
+    """Of large buckets the pairs of every document with the first and the last one by a hash."""
+    me, by = F.struct("fp", "after"), F.xxhash64("fp", F.lit(SEED))
+    ends = large.groupBy("segment", "value").agg(F.array(F.min_by(me, by), F.max_by(me, by)).alias("ends"))
+    ends = ends.select("segment", "value", F.explode("ends").alias("end"))
+    met = large.join(ends, ["segment", "value"]).where((F.col("fp") != F.col("end.fp")) & plan.in_budget(F.col("after").bitwiseXOR(F.col("end.after"))))
+    return met.select(*_ordered(F.col("fp"), F.col("end.fp")))
+
+
+def _rest_pairs(large: DataFrame, labels: DataFrame, plan: Plan) -> DataFrame:
+    """Of large buckets the pairs of what isn't in the largest component with all that has another component."""
+    rows = large.join(labels, large["fp"] == labels["vertex"], "left")
+    rows = written(rows.select("segment", "value", "after", "fp", F.coalesce("component", "fp").alias("label")), "similar-large")
+    of = rows.groupBy("segment", "value", "label").agg(F.count(F.lit(1)).alias("n"))
+    of = of.groupBy("segment", "value").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    of = of.where("labels > 1").select("segment", "value", F.col("main.label").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("blocks"))
+    open_ = written(rows.join(of, ["segment", "value"]), "similar-open")
+    rest = open_.where("label != main").groupBy("segment", "value", F.pmod(F.xxhash64("fp"), "blocks").alias("block")).agg(F.collect_list(F.struct("fp", "after", "label")).alias("rest"))
+    near = F.filter("rest", lambda r: (r["label"] != F.col("label")) & plan.in_budget(F.col("after").bitwiseXOR(r["after"])))
+    met = open_.join(rest.drop("block"), ["segment", "value"]).select("fp", F.explode(F.transform(near, lambda r: r["fp"])).alias("other"))
+    return met.select(*_ordered(F.col("fp"), F.col("other")))
+
+
+def _verified(pairs: DataFrame, prints: DataFrame, sets_of, plan: Plan) -> DataFrame:
+    """Of the pairs (a, b) those within the radius and then those whose sets are similar."""
+
+    @F.pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (a, b))
+        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1) <= plan.radius)
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), plan.similarity) for x, y in zip(a, b)], dtype=bool)
+
+    def both(pairs: DataFrame, table: DataFrame, *names: str) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(table.select(F.col("fp").alias(side), *[F.col(n).alias(f"{n}_{side}") for n in names]), side)
+        return pairs
+
+    pairs = both(written(pairs.distinct(), "similar-pairs"), prints, "bits", "n")
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    near = written(pairs.where(least >= most * plan.similarity).where(close("bits_a", "bits_b")).select("a", "b"), "similar-near")
+    sets = written(sets_of(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), "similar-sets")
+    return written(both(near, sets, "hashes").where(alike("hashes_a", "hashes_b")).select("a", "b"), "similar-links")
+
+
+def links(prints: DataFrame, sets_of, plan: Plan) -> DataFrame:
+    """prints (fp, n, bits), distinct -> links (a, b) that join all near copies; sets_of gives the sets (fp, hashes)
+    of a table of fps."""
+    keyed = _keyed(prints, plan)
+    sizes = keyed.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DENSE)
+    sizes = written(sizes.select("segment", "value"), "similar-sizes")
+    large = written(keyed.join(sizes, ["segment", "value"], "left_semi"), "similar-large")
+    small = keyed.join(sizes, ["segment", "value"], "left_anti")
+    first = _verified(_pairs(small, plan).unionByName(_star_pairs(large, plan)), prints, sets_of, plan)
+    if large.isEmpty():
         return first
     found = written(connected_components(first), "similar-found")
-    split = split.join(found, split["fp"] == found["vertex"], "left").select("key", "fp", F.coalesce("component", "fp").alias("label"))
-    split = written(split, "similar-split")
-    of = split.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    of = of.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    of = of.select("key", F.col("main.label").alias("main"), _blocks("main.n").alias("mains"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("rests"))
-    is_main = F.col("label") == F.col("main")
-    place = F.when(is_main, F.pmod(F.xxhash64("fp"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("fp"), "rests"))
-    other = F.sequence(F.when(is_main, F.col("mains")).otherwise(F.lit(0).cast("long")), F.col("mains") + F.col("rests") - 1)
-    met = split.join(of, "key").select("key", "fp", "label", place.alias("at"), F.explode(other).alias("other")).where("at != other")
-    met = met.select(F.struct("key", F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y")).alias("unit"), "fp", "label")
-    return first.unionAll(_verified(met, sets, similarity))
+    return first.unionByName(_verified(_rest_pairs(large, found, plan), prints, sets_of, plan))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay, one of each component of near copies."""
-    band_rows(similarity)
+    plan = Plan(docs.count(), similarity)
+    small_batches(docs.sparkSession)
 
-    @F.pandas_udf("fp long, bands array<long>")
+    @F.pandas_udf("fp long, n int, bits binary")
     def printed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingles(t, shingle) for t in texts]
             fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"fp": fps, "bands": [bands(s, similarity) for s in sets]})
+            yield pd.DataFrame({"fp": fps, "n": np.array([len(s) for s in sets], np.int32), "bits": [fingerprint(s, plan.words).tobytes() for s in sets]})
 
     @F.pandas_udf("binary")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -155,9 +259,9 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = text_or_empty(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("mark"), printed(text).alias("p"))
-    rows = written(rows.select("id", "mark", "p.fp", "p.bands"), "similar-rows")
+    rows = written(rows.select("id", "mark", "p.*"), "similar-rows")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
-    groups = written(rows.groupBy("fp").agg(F.min(first).alias("first"), F.any_value("bands").alias("bands")), "similar-prints")
+    groups = written(rows.groupBy("fp").agg(F.min(first).alias("first"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "similar-prints")
 
     def sets_of(fps: DataFrame) -> DataFrame:
         wanted = written(groups.join(fps, "fp", "left_semi").select("fp", F.col("first.mark").alias("at_mark")), "similar-wanted")
@@ -165,7 +269,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = texts.join(wanted, F.col("mark") == F.col("at_mark")).select("fp", packed("t").alias("hashes"))
         return found.groupBy("fp").agg(F.any_value("hashes").alias("hashes"))
 
-    found = connected_components(links(groups.select("fp", "bands"), sets_of, similarity))
+    found = written(connected_components(links(groups.select("fp", "n", "bits"), sets_of, plan)), "similar-found")
     labelled = groups.join(found, groups["fp"] == found["vertex"], "left").select("first", F.coalesce("component", "fp").alias("component"))
     best = labelled.groupBy("component").agg(F.min("first").alias("best"))
     return keep_best(docs, best, id_col, text_col)

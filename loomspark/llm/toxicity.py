@@ -30,10 +30,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import whole_row, written
+from loomspark.llm.common import small_batches, whole_row, written
 
 MAX_ROWS, MAX_FEATURES, MIN_ROWS = 8000, 3000, 4
 GRADES, STRONG_Z, PENALTY, STEPS, REJECT_AT = 4, 6.0, 0.1, 400, 0.5
+#: A worker remembers so many words' bases, some 10 MB.
+CACHE_WORDS = 60_000
 PREFIXES, COUNTS, RATES = range(3, 8), (1, 2, 3, 5), (50, 100, 200, 400)
 _letters = re.compile(r"[^\W\d_]+").findall
 
@@ -64,7 +66,7 @@ class _Bases(dict):
 
     def __missing__(self, word: str) -> tuple[str, ...]:
         found = tuple(b for b in (word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)) if b in self.known)
-        if len(self) < 500_000 and len(word) < 64:
+        if len(self) < CACHE_WORDS and len(word) < 64:
             self[word] = found
         return found
 
@@ -128,14 +130,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     """docs (doc_id, text) and labels (doc_id, toxic) -> the model."""
     never = OrdinalModel({}, [35.0] * (GRADES - 1))
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    sample = written(marked.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows).select(F.col("doc_id").alias("id"), "toxic"), "toxicity-sample")
+    sample = written(marked.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows).select(F.col("doc_id").alias("id"), "h", "toxic"), "toxicity-sample")
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "toxic": b["toxic"], "f": [sorted(features(t)) for t in b["text"]]})
+            yield pd.DataFrame({"h": b["h"], "toxic": b["toxic"], "f": [sorted(features(t)) for t in b["text"]]})
 
-    texts = docs.select(F.col("doc_id").alias("at"), "text").join(sample, F.col("at") == F.col("id")).dropDuplicates(["id"])
-    rows = written(texts.select("id", "toxic", "text").mapInPandas(lists, "id long, toxic int, f array<string>"), "toxicity-features")
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").alias("at"), "text").join(sample, F.col("at") == F.col("id"))
+    texts = texts.groupBy("id", "h", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of an id's texts one
+    rows = written(texts.select("h", "toxic", "text").mapInPandas(lists, "h long, toxic int, f array<string>"), "toxicity-features")
     n1, n0 = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not n1 or not n0:
         return never
@@ -151,9 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
 
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "toxic": b["toxic"], "x": [[index[f] for f in fs if f in index] for fs in b["f"]]})
+            yield pd.DataFrame({"h": b["h"], "toxic": b["toxic"], "x": [[index[f] for f in fs if f in index] for fs in b["f"]]})
 
-    got = rows.mapInPandas(chosen, "id long, toxic int, x array<int>").orderBy("id").toPandas()  # at most max_rows
+    got = rows.mapInPandas(chosen, "h long, toxic int, x array<int>").orderBy("h").toPandas()  # at most max_rows
     toxic = got["toxic"].to_numpy()
     severity = np.array([sum(i in strong for i in x) for x in got["x"]])
     cuts = np.quantile(severity[toxic == 1], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
@@ -179,6 +183,7 @@ def scored(text: Column, model: OrdinalModel) -> Column:
 
 def grade_documents(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT, text_col: str = "text", model: OrdinalModel | None = None) -> DataFrame:
     """Every row of docs, as `row`, with severity, p_toxic, grade and rejected."""
+    small_batches(docs.sparkSession)
     model = model or fit(docs.select("doc_id", F.col(f"`{text_col}`").alias("text")), labels)
     rows = docs.select(whole_row(docs)).withColumn("s", scored(F.col(f"row.`{text_col}`"), model))
     return rows.select("row", "s.severity", "s.p_toxic", "s.grade", (F.col("s.p_toxic") >= reject_at).alias("rejected"))

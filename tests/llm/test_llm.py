@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from helpers import SF, assert_matches, duck
+from test_similar import kept_by_brute_force
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -553,10 +554,22 @@ def test_pipeline_stages(spark, theirs):
     assert {r.doc_id for r in clean} >= {i for i, t in labels.items() if not t}
     want = exact_by_brute_force([(r.doc_id, r.text) for r in clean])
     assert {r.doc_id for r in exact} == {v[0] for v in want.values()} and len(exact) == len({v[0] for v in want.values()})
-    prints = sorted((r.doc_id, fingerprint(r.text)) for r in exact)
-    roots = near_by_brute_force([p for _, p in prints])
-    assert sorted(r.doc_id for r in near) == sorted({prints[i][0] for i in roots})
+    assert sorted(r.doc_id for r in near) == kept_by_brute_force(sorted((r.doc_id, r.text) for r in exact))
     assert {r.doc_id for r in mixed} <= {r.doc_id for r in near} and max(Counter(r.doc_id for r in mixed).values()) <= 3
     assert Counter(r.doc_id for r in tokens) == Counter(r.doc_id for r in mixed)
     texts = {r.doc_id: r.text for r in near}
     assert all(r.ids == theirs.encode(texts[r.doc_id] or "", add_special_tokens=False).ids for r in tokens)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path, none):
+    at = str(tmp_path)
+    read_table(spark, SMALL, "labels").write.parquet(at + "/labels.parquet")
+    rows = [(*r, r[0], "x", ["r"]) for r in ODD] + [(100 + i, f"one two three four five {i // 2}", "z", 0, 0, "r", i, "x", None) for i in range(8)]
+    odd = spark.createDataFrame(rows, DOCS + ", n_tokens long, lang string, ids array<string>")
+    odd.write.parquet(at + "/documents.parquet")
+    got = corpus_pipeline.run(spark, at)
+    assert {"size", "shard", "row", "lang", "ids", "n_tokens", "decoded"} <= set(got.columns) and "text" not in got.columns
+    assert {r.doc_id for r in got.collect()} <= {None, *range(1, 8), *range(100, 108)} - {101, 103, 105, 107}
+    none.write.parquet(at + "/empty/documents.parquet")
+    read_table(spark, SMALL, "labels").write.parquet(at + "/empty/labels.parquet")
+    assert corpus_pipeline.run(spark, at + "/empty").isEmpty()

@@ -45,6 +45,8 @@ def test_stage_drops_what_five_words_make_near_copies(spark):
 @pytest.mark.parametrize("block", [2, 8, 64])
 def test_large_groups_and_chains(spark, monkeypatch, block):
     monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "DENSE", block)
+    monkeypatch.setattr(similar, "RECALL", 0.99999)  # so that the random texts' result is that of brute force
     rnd, rows = random.Random(5), []
     for _ in range(4):
         text = rnd.choices(WORDS, k=150)
@@ -58,11 +60,37 @@ def test_large_groups_and_chains(spark, monkeypatch, block):
     assert similar.drop_similar(df.limit(0)).isEmpty()
 
 
-def test_recall_at_the_least_similarity():
-    rnd, n, met = np.random.default_rng(3), 1500, 0
+@pytest.mark.parametrize("size", [5, 20, 200, 2000])
+def test_recall_at_the_least_similarity(size):
+    rnd, n, plan = np.random.default_rng(3), 400, similar.Plan(200_000, 0.8)
+    prints = []
     for _ in range(n):
-        h = rnd.integers(1 << 63, size=200, dtype=np.uint64) * np.uint64(2)
-        a, b = np.unique(h[:180]), np.unique(h[20:])  # 160 of 200 in both
-        assert similar.similar(a, b, 0.8) and not similar.similar(a, b, 0.801)
-        met += bool(set(similar.bands(a, 0.8)) & set(similar.bands(b, 0.8)))
-    assert met >= 0.997 * n
+        h = rnd.integers(1 << 63, size=size, dtype=np.uint64) * np.uint64(2)
+        a, b = np.unique(h[: size - size // 10]), np.unique(h[size // 10 if size > 5 else 1 :])  # 4 of 5 shingles in both
+        assert similar.similar(a, b, 0.8) or size == 5
+        prints.append([similar.fingerprint(x, plan.words) for x in (a, b if size > 5 else h[1:])])
+    (va, xa), (vb, xb) = (similar.ring(np.array([p[i] for p in prints]), plan) for i in (0, 1))
+    chain = va == vb
+    for mask, most in plan.masks():
+        chain &= np.bitwise_count((xa ^ xb) & np.uint64(mask & (1 << 64) - 1)) <= most
+    close = np.array([np.bitwise_count(a ^ b).sum() <= plan.radius for a, b in prints])
+    assert (chain.any(axis=1) & close).sum() >= (0.985 if size > 5 else 0.9) * n
+
+
+def test_unlike_texts_hardly_meet():
+    rnd, plan = np.random.default_rng(4), similar.Plan(200_000, 0.8)
+    values, after = similar.ring(np.array([similar.fingerprint(rnd.integers(1 << 63, size=300, dtype=np.uint64), plan.words) for _ in range(1500)]), plan)
+    met = pruned = 0
+    for i in range(1, 1500):
+        same = values[i] == values[:i]
+        met += same.sum()
+        for mask, most in plan.masks():
+            same &= np.bitwise_count((after[i] ^ after[:i]) & np.uint64(mask & (1 << 64) - 1)) <= most
+        pruned += same.sum()
+    assert met < 3 * 1500**2 / 2 * plan.segments / 2**plan.width and pruned <= 3
+
+
+def test_similarity_out_of_range():
+    for s in (0.2, 1.0):
+        with pytest.raises(ValueError):
+            similar.Plan(10, s)
