@@ -5,8 +5,12 @@ code words, one of each half's code of random unit vectors, so CODE words a half
 filters are all those whose direction it meets at the threshold or above. They are list-decoded: of each half only
 the words are looked at that can reach the threshold with the other half's best word. The threshold is set, for each
 dimension, so that a random vector has FILTERS filters on average. Several codes with rotations of their own make
-vectors rare that have few filters in all. Vectors of one label that share a filter are
-candidates, and every candidate pair is verified by its cosine in double precision.
+vectors rare that have few filters in all. Vectors of one label that share a filter are candidates, and every candidate
+pair is verified by its cosine in double precision.
+
+In fewer than LOW dimensions such caps are narrower than the angle that is looked for, and directions made of two equal
+halves leave parts of the sphere bare. There the cells of GRIDS rotated and shifted grids are the filters, four times as
+wide as the distance of two unit vectors at the least cosine.
 
 The work follows the candidates. Equal vectors of a label are one row with a weight from the start. Only (filter,
 row) numbers are exchanged to find filters with more than one row; only rows with such a filter are dealt to them with
@@ -14,8 +18,9 @@ their vectors. A filter with more than BLOCK rows is split into blocks, and ever
 its own, so no task holds a whole large filter. A pair is counted only in the first filter that both rows have; no
 pairs leave the tasks, only counts and the edges of a spanning forest of each unit.
 
-Filters are a search with a measured recall (see the tests: over 0.99 at cosines from 0.98 on); what is linked has a
-cosine of at least `least_cosine`. Defined results: null labels, and vectors that are null, empty, zero or hold null
+Filters are a search with a measured recall (see the tests: over 0.99 at cosines from 0.98 on, in every dimension from 1
+to 16, in 64 and in 256); what is linked has a cosine of at least `least_cosine`, which may not be below 0.98, as the
+caps are planned for that. Defined results: null labels, and vectors that are null, empty, zero or hold null
 or non-finite components, link with nothing and are their own component. Vectors of different lengths link with
 nothing of each other. A null vec_id counts as a link of others but is the smallest of its component only if there is
 no other. Repeated rows are links of each other. Empty tables are fine; other columns are left alone.
@@ -38,6 +43,7 @@ LEAST_COSINE = 0.98
 #: So many codes of their own; CODE words a half in each; filters that a random vector has in each, on average.
 CODES, CODE, FILTERS = 8, 512, 6.0
 BLOCK, SEED = 512, 20
+LOW, GRIDS = 12, 16
 
 
 @lru_cache(maxsize=4 * CODES)
@@ -61,8 +67,19 @@ def product_code(dim: int, code: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return turn, words[0], words[1], high
 
 
+def grid_cells(unit: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of a grid's cells that the unit vectors lie in."""
+    dim = unit.shape[1]
+    rng, side = np.random.default_rng([SEED, dim, code]), 4 * np.sqrt(2 - 2 * LEAST_COSINE)
+    turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+    cell = np.floor((unit @ turn + rng.random(dim) * side) / side).astype(np.int64)
+    return np.arange(len(unit)), (cell + 16) @ (np.int64(32) ** np.arange(dim)) * GRIDS + code
+
+
 def list_decode(unit: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of all of a code's filters that each unit vector (a row) exceeds."""
+    if unit.shape[1] < LOW:
+        return grid_cells(unit, code)
     turn, w0, w1, least = product_code(unit.shape[1], code)
     x = unit @ turn
     a, b = x[:, : len(w0)] @ w0, x[:, len(w0) :] @ w1
@@ -92,7 +109,7 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = np.nonzero(sizes == dim)[0]
             for part in np.array_split(at, max(1, len(at) // 256)):
                 units = _units(b["vector"].iloc[part])
-                row, found = (np.concatenate(x) for x in zip(*(list_decode(units, c) for c in range(CODES))))
+                row, found = (np.concatenate(x) for x in zip(*(list_decode(units, c) for c in range(GRIDS if dim < LOW else CODES))))
                 order = np.lexsort((found, row))
                 for i, fs in zip(part, np.split(found[order], np.cumsum(np.bincount(row, minlength=len(part)))[:-1])):
                     filters[i] = fs
@@ -103,10 +120,12 @@ def _lower(filters: list[np.ndarray], this: int) -> np.ndarray:
     """For each row which of the filters below `this` it has, out of those that more than one row has."""
     sizes = [int(np.searchsorted(f, this)) for f in filters]
     below = np.concatenate([f[:n] for f, n in zip(filters, sizes)])
-    kinds, at, n = np.unique(below, return_inverse=True, return_counts=True)
-    out = np.zeros((len(filters), len(kinds)), np.float32)
-    out[np.repeat(np.arange(len(filters)), sizes), at] = 1
-    return out[:, n > 1]
+    _, at, n = np.unique(below, return_inverse=True, return_counts=True)
+    several = n > 1
+    number, row, mine = np.cumsum(several) - 1, np.repeat(np.arange(len(filters)), sizes), several[at]
+    out = np.zeros((len(filters), int(several.sum())), np.float32)
+    out[row[mine], number[at[mine]]] = 1
+    return out
 
 
 class _Forest:
@@ -175,8 +194,11 @@ def _verify(least_cosine: float):
 
 def near_vectors(rows: DataFrame, id_col="vec_id", vector_col="embedding", label_col="label", least_cosine: float = LEAST_COSINE) -> DataFrame:
     """Every row of rows: its id, n_links, component_id and kept."""
+    if least_cosine < LEAST_COSINE:
+        raise ValueError(f"the filters are planned for cosines from {LEAST_COSINE} on")
+    plain = rows.schema[vector_col].dataType.simpleString() == "array<float>"  # half of a double's bytes to deal
     bad = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    narrow = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"), F.col(f"`{label_col}`").alias("label"))
+    narrow = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<float>" if plain else "array<double>").alias("vector"), F.col(f"`{label_col}`").alias("label"))
     usable = F.coalesce(F.col("label").isNotNull() & ~bad & F.exists("vector", lambda v: v != 0), F.lit(False))
     mine = narrow.where(usable)
     least_id = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("least")
@@ -186,20 +208,23 @@ def near_vectors(rows: DataFrame, id_col="vec_id", vector_col="embedding", label
     small = classes.select("cls", "label", F.size("vector").alias("dim"))
     listed = decoded.join(small, "cls").select("cls", "label", "dim", F.explode("filters").alias("filter"))
     sizes = listed.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = listed.join(sizes, ["label", "dim", "filter"])
+    shared = written(listed.join(sizes, ["label", "dim", "filter"]), "near-shared")
+    several = shared.groupBy("cls").agg(F.sort_array(F.collect_list("filter")).alias("filters"))  # a row has some 50
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("cls"), n_blocks).cast("int")
     shared = shared.withColumn("n_blocks", n_blocks).withColumn("block", block)
     units = shared.select("cls", "label", "dim", "filter", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
     units = units.select("cls", "label", "dim", "filter", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    full = units.join(classes.select("cls", "vector", "weight"), "cls").join(decoded, "cls")
+    full = units.join(classes.select("cls", "vector", "weight").join(several, "cls"), "cls")
     dealt = full.repartition("label", "dim", "filter", "one", "two").sortWithinPartitions("label", "dim", "filter", "one", "two")
     found = written(dealt.mapInPandas(_verify(least_cosine), "v long, w long, n long"), "near-found")
     counts = found.where("w IS NULL").groupBy("v").agg(F.sum("n").alias("n"))
+    counts = written(counts, "near-counts")
     linked = connected_components(found.where("w IS NOT NULL").select(F.col("v").alias("a"), F.col("w").alias("b")))
+    linked = written(linked, "near-linked")
     labelled = classes.join(counts, classes["cls"] == counts["v"], "left").join(linked, classes["cls"] == linked["vertex"], "left")
-    labelled = labelled.select("label", "vector", "least", F.coalesce("component", "cls").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    labelled = written(labelled.select("label", "vector", "least", F.coalesce("component", "cls").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "near-labelled")
+    smallest = written(labelled.groupBy("component").agg(F.min("least").alias("component_id")), "near-smallest")
     answers = written(labelled.join(smallest, "component").select("label", "vector", "n_links", "component_id"), "near-answers")
     linking = mine.join(answers, ["label", "vector"]).select("id", "n_links", "component_id")
     alone = narrow.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

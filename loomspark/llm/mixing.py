@@ -10,7 +10,8 @@ add up exactly. Each shard then takes its own run of the source's permuted block
 Defined results: a null source is a source of its own, last in order. Null text counts no word. Rows without words
 are kept as often as their block is, and take nothing. Repeated rows share a hash and are taken alike. A source
 without words has the target 0 and gives no rows. An empty table gives an empty result. All of the input's own
-columns stay as they are, whatever they are called. Only tables of sources and blocks are gathered (sources x
+columns stay as they are, whatever they are called. There may be at most MAX_SOURCES sources, as a node of the tree holds
+the counts of all of them in one row; more are an error. Only tables of sources and blocks are gathered (sources x
 `blocks` rows); rows themselves are never sorted or shuffled, unless the plan is too large to broadcast.
 """
 
@@ -27,6 +28,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 BLOCKS = 64
 SHARDS = 16
+MAX_SOURCES = 5000
 #: Within a block, rows are ordered by the other bits of their hash; the top ones of these make a histogram first.
 BLOCK_BITS, FINE_BITS = 12, 46
 
@@ -118,6 +120,8 @@ class Mixture:
         narrow = self._keyed(docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "source", "id", "text")
         self._sized = written(narrow.select("id", "source", "block", "order", word_count(text_or_empty()).alias("size")), "mix-sizes")
         self.sources = written(source_targets(self._sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "mix-sources")
+        if self.sources.count() > MAX_SOURCES:
+            raise ValueError(f"more than {MAX_SOURCES} sources; group small ones first")
         self.plan = written(self._plan(), "mix-plan")
 
     def _keyed(self, df: DataFrame, source: str, id_: str, text: str) -> DataFrame:

@@ -26,7 +26,7 @@ def op8_mix_sources(spark, sf_dir):
     mixture = Mixture(read_table(spark, sf_dir, "documents"))
     rows, sources = mixture.sized(), mixture.sources.select("source", "source_size", "target")
     joined = rows.join(sources, rows["source"].eqNullSafe(sources["source"]))
-    return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("shards"))
 
 
 def tokenizer_path() -> str:
@@ -65,14 +65,14 @@ def op4_toxicity(spark, sf_dir):
     return graded.select("row.doc_id", F.round("severity", 9).alias("severity"), F.round("p_toxic", 9).alias("p_toxic"), "grade", "rejected")
 
 
-#: Pages of hosts with this label, in any place, are listed, by their canonical URL, as URLs to block.
-LISTED_LABEL = "spam-farm"
+#: Pages whose html holds this mark are listed, by their canonical URL, as URLs to block.
+LISTED_MARK = "casino"
 
 
 def op5_url_filter(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where(F.array_contains(F.split("host", r"\."), LISTED_LABEL))
-    return judge_urls(pages, listed=listed).select("page.page_id", "host", "path", "rule", "verdict")
+    pages = read_table(spark, sf_dir, "pages")
+    listed = pages.where(F.contains(F.lower("html"), F.lit(LISTED_MARK))).select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    return judge_urls(pages.select("page_id", "url"), listed=listed).select("page.page_id", "host", "path", "rule", "verdict")
 
 
 def op6_exact_dedup(spark, sf_dir):
@@ -107,11 +107,10 @@ ORACLE_SQL = {
         q AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p),
         r(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
         fits AS (SELECT page_id, host, path, rh || rp AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, length(rh) DESC) AS k
-                 FROM q JOIN r ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp))
-        SELECT q.page_id, q.host, q.path,
-f.rule,
-               coalesce(f.v, CASE WHEN starts_with(q.host, 'spam-farm.') THEN 'block' ELSE 'allow' END) AS verdict
-        FROM q LEFT JOIN fits f ON f.page_id = q.page_id AND f.k = 1""",
+                 FROM q JOIN r ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp)),
+        listed AS (SELECT DISTINCT q.host, q.path FROM q JOIN pages p ON p.page_id = q.page_id WHERE contains(lower(p.html), 'casino') AND q.host <> '')
+        SELECT q.page_id, q.host, q.path, f.rule, coalesce(f.v, CASE WHEN l.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+        FROM q LEFT JOIN fits f ON f.page_id = q.page_id AND f.k = 1 LEFT JOIN listed l ON l.host = q.host AND l.path = q.path""",
     "op6_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents),
         g AS (SELECT doc_id, plain, first_value(doc_id) OVER (PARTITION BY plain ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size FROM d)

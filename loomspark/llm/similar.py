@@ -14,8 +14,9 @@ its budget are pruned. The others go on to the whole Hamming distance and at las
 
 Equal sets are one row from the start. A segment's bucket of up to DENSE documents gives its pairs. In a larger one, as
 large groups of near copies have, the documents meet two of their number first. What then isn't in the bucket's largest
-component yet meets all of the bucket, in blocks; so the work for a large group grows in proportion to it, and nothing
-is dropped or capped.
+component yet is compared with that component by the whole fingerprints, in blocks, and verified against all within the
+radius. So nothing is dropped or capped, and only documents that share a segment with a large group and aren't linked
+to it by then are compared with all of it.
 
 Defined results: null text counts as empty, and texts without words are copies of each other; links are transitive; of
 a component the row with the smallest id stays (null last; of repeats of it, one). Empty tables are fine, and other
@@ -39,10 +40,13 @@ from loomspark.llm.components import connected_components
 from loomspark.llm.simhash import keep_best
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-RECALL, DENSE, BLOCK = 0.995, 64, 64
+RECALL, DENSE, BLOCK, SLICE = 0.995, 64, 256, 4096
 #: The share of differing bits that segments are planned for, and the radius, against what is expected of long texts.
 #: Short texts, whose votes are often tied, differ in more bits.
 MARGIN, RADIUS = 1.1, 1.45
+#: From so many shingles on, the differing bits of a pair at the least similarity spread as the binomial distribution
+#: says, and four standard deviations are radius enough.
+LONG = 64
 #: Shingles whose votes are counted at once: so many fit in a byte.
 CHUNK = 255
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +64,12 @@ class Plan:
         agree = (1 - MARGIN * differing) ** self.width * 0.97  # of these, the chain keeps its budget in more than 97 %
         self.segments = max(self.follow + 1, math.ceil(math.log(1 - RECALL) / math.log(1 - agree)))
         self.words = -(-self.segments * self.width // 64)
-        self.radius = int(RADIUS * differing * self.segments * self.width)
+        bits = self.segments * self.width
+        self.radius = int(RADIUS * differing * bits)
+        self.long_radius = min(self.radius, math.ceil(1.03 * differing * bits + 4 * math.sqrt(differing * (1 - differing) * bits)))
+
+    def radius_for(self, shingles: np.ndarray) -> np.ndarray:
+        return np.where(shingles < LONG, self.radius, self.long_radius)
 
     def budget(self, length: int) -> int:
         return length * self.radius // self.segments
@@ -187,27 +196,71 @@ def _star_pairs(large: DataFrame, plan: Plan) -> DataFrame:
     return met.select(*_ordered(F.col("fp"), F.col("end.fp")))
 
 
-def _rest_pairs(large: DataFrame, labels: DataFrame, plan: Plan) -> DataFrame:
-    """Of large buckets the pairs of what isn't in the largest component with all that has another component."""
-    rows = large.join(labels, large["fp"] == labels["vertex"], "left")
-    rows = written(rows.select("segment", "value", "after", "fp", F.coalesce("component", "fp").alias("label")), "similar-large")
+def _open_units(large: DataFrame, labels: DataFrame, prints: DataFrame) -> DataFrame:
+    """What of large buckets isn't in their largest component meets that component, as units (main, block, slice).
+
+    A unit holds up to about BLOCK such documents (`asks`) and about SLICE of what they meet: the component, and all
+    else that meets it. A document meets a component once, however many buckets they share.
+    """
+    rows = large.select("segment", "value", "fp").join(labels, large["fp"] == labels["vertex"], "left")
+    rows = written(rows.select("segment", "value", "fp", F.coalesce("component", "fp").alias("label")), "similar-labels")
     of = rows.groupBy("segment", "value", "label").agg(F.count(F.lit(1)).alias("n"))
-    of = of.groupBy("segment", "value").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    of = of.where("labels > 1").select("segment", "value", F.col("main.label").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("blocks"))
-    open_ = written(rows.join(of, ["segment", "value"]), "similar-open")
-    rest = open_.where("label != main").groupBy("segment", "value", F.pmod(F.xxhash64("fp"), "blocks").alias("block")).agg(F.collect_list(F.struct("fp", "after", "label")).alias("rest"))
-    near = F.filter("rest", lambda r: (r["label"] != F.col("label")) & plan.in_budget(F.col("after").bitwiseXOR(r["after"])))
-    met = open_.join(rest.drop("block"), ["segment", "value"]).select("fp", F.explode(F.transform(near, lambda r: r["fp"])).alias("other"))
-    return met.select(*_ordered(F.col("fp"), F.col("other")))
+    of = of.groupBy("segment", "value").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+    rest = written(rows.join(of, ["segment", "value"]).where("label != main").select("main", "fp", "label").distinct(), "similar-rest")
+    mains = rest.select("main").distinct()
+    inside = labels.join(mains, labels["component"] == mains["main"]).select("main", F.col("vertex").alias("fp"), F.col("main").alias("label"))
+    met = written(inside.unionByName(mains.select("main", F.col("main").alias("fp"), F.col("main").alias("label"))).unionByName(rest), "similar-met")
+    sizes = rest.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = written(sizes.join(met.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices")), "main"), "similar-mains")
+
+    def dealt(rows: DataFrame, own: str, number: str, other: str, others: str, asks: bool) -> DataFrame:
+        place = F.pmod(F.xxhash64("fp"), number).alias(own)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)).alias(other)
+        return rows.join(sizes, "main").select("main", "fp", "label", place, every, F.lit(asks).alias("asks"))
+
+    both = dealt(rest, "block", "blocks", "slice", "slices", True).unionByName(dealt(met, "slice", "slices", "block", "blocks", False))
+    both = both.join(prints.select("fp", "n", "bits"), "fp").select("main", "block", "slice", "asks", "fp", "label", "n", "bits")
+    return both.repartition("main", "block", "slice").sortWithinPartitions("main", "block", "slice", F.col("asks").desc())
+
+
+def _unit_pairs(units: DataFrame, plan: Plan) -> DataFrame:
+    """Of every unit the pairs of other components within the radius."""
+
+    def close(one: pd.DataFrame, two: pd.DataFrame) -> pa.RecordBatch:
+        x, y = (np.frombuffer(b"".join(t["bits"]), np.uint64).reshape(len(t), -1) for t in (one, two))
+        apart = np.zeros((len(one), len(two)), np.int32)
+        for k in range(x.shape[1]):
+            apart += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+        na, nb = one["n"].to_numpy()[:, None], two["n"].to_numpy()[None, :]
+        ok = (apart <= plan.radius_for(np.minimum(na, nb))) & (np.minimum(na, nb) >= plan.similarity * np.maximum(na, nb))
+        ok &= one["label"].to_numpy()[:, None] != two["label"].to_numpy()[None, :]
+        i, j = np.nonzero(ok)
+        a, b = one["fp"].to_numpy()[i], two["fp"].to_numpy()[j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A unit's documents that ask come first and are held; those that they meet are met as they come."""
+        unit, held = None, []
+        for batch in batches:
+            rows = batch.to_pandas()
+            for key, part in rows.groupby(["main", "block", "slice"], sort=False):
+                if key != unit:
+                    unit, held = key, []
+                held.append(part[part["asks"]])
+                held, others = [pd.concat(held, ignore_index=True)], part[~part["asks"]]
+                if len(held[0]) and len(others):
+                    yield close(held[0], others)
+
+    return units.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, prints: DataFrame, sets_of, plan: Plan) -> DataFrame:
     """Of the pairs (a, b) those within the radius and then those whose sets are similar."""
 
-    @F.pandas_udf("boolean")
-    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.pandas_udf("int")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
         x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(len(s), -1) for s in (a, b))
-        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1) <= plan.radius)
+        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1))
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -220,7 +273,8 @@ def _verified(pairs: DataFrame, prints: DataFrame, sets_of, plan: Plan) -> DataF
 
     pairs = both(written(pairs.distinct(), "similar-pairs"), prints, "bits", "n")
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    near = written(pairs.where(least >= most * plan.similarity).where(close("bits_a", "bits_b")).select("a", "b"), "similar-near")
+    radius = F.when(least < LONG, plan.radius).otherwise(plan.long_radius)
+    near = written(pairs.where(least >= most * plan.similarity).where(apart("bits_a", "bits_b") <= radius).select("a", "b"), "similar-near")
     sets = written(sets_of(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), "similar-sets")
     return written(both(near, sets, "hashes").where(alike("hashes_a", "hashes_b")).select("a", "b"), "similar-links")
 
@@ -237,7 +291,7 @@ def links(prints: DataFrame, sets_of, plan: Plan) -> DataFrame:
     if large.isEmpty():
         return first
     found = written(connected_components(first), "similar-found")
-    return first.unionByName(_verified(_rest_pairs(large, found, plan), prints, sets_of, plan))
+    return first.unionByName(_verified(_unit_pairs(_open_units(large, found, prints), plan), prints, sets_of, plan))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

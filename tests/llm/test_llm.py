@@ -214,18 +214,38 @@ def test_near_vectors(spark, monkeypatch):
     assert embedding_dedup.near_vectors(rows.limit(0)).isEmpty()
 
 
-def test_recall_of_the_filters():
+@pytest.mark.parametrize("dim", [*range(1, 17), 64, 256])
+def test_recall_of_the_filters(dim):
     rng = np.random.default_rng(3)
-    x = rng.standard_normal((600, 64))
+    x = rng.standard_normal((400, dim))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    y = np.array([cluster(1, 64, v, 0.98, rng)[0] for v in x])
+    y = np.array([cluster(1, dim, v, 0.98, rng)[0] if dim > 1 else v for v in x])
     found = set()
-    for code in range(embedding_dedup.CODES):
+    for code in range(embedding_dedup.GRIDS if dim < embedding_dedup.LOW else embedding_dedup.CODES):
         a, b = (set(zip(*map(np.ndarray.tolist, embedding_dedup.list_decode(v, code)))) for v in (x, y))
         found |= {i for i, _ in a & b}
     assert len(found) >= 0.99 * len(x)
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 7])
+def test_near_vectors_in_few_dimensions(spark, dim):
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((120, dim)).tolist()
+    rows = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    x = [r.embedding for r in rows.orderBy("vec_id").collect()]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(rows).collect()}
+    assert got == dict(enumerate(links_by_brute_force(x, [1] * len(x))))
+    with pytest.raises(ValueError):
+        embedding_dedup.near_vectors(rows, least_cosine=0.9)
+
+
+def test_op3(spark):
+    rows = sorted(duck(SMALL).sql("SELECT vec_id, embedding, label FROM embeddings").fetchall())
+    want = links_by_brute_force([r[1] for r in rows], [r[2] for r in rows])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op3_embedding_dedup(spark, SMALL).collect()}
+    assert got == {r[0]: (n, rows[c][0], rows[c][0] == r[0]) for r, (n, c) in zip(rows, want)}
+
+
 # toxicity
 
 
@@ -431,6 +451,26 @@ def test_quotas_split_counts_exactly_and_evenly(spark):
     assert sum(shares) == 197 and max(shares) - min(shares) <= 3
 
 
+def test_shards_hold_what_the_tree_gives_them(spark):
+    mixture = mixing.Mixture(read_table(spark, SMALL, "documents"), blocks=8, shards=5)
+    plan = mixture.plan.select("source", "block", F.explode("draws.shard").alias("shard")).collect()
+    by_shard, by_source = Counter(r.shard for r in plan), Counter(r.source for r in plan)
+    assert set(by_shard) == set(range(5)) and max(by_shard.values()) - min(by_shard.values()) <= 3
+    assert len({tuple(sorted(Counter(r.shard for r in plan if r.source == s).items())) for s in by_source}) > 1
+    mixed = mixture.mixed()
+    assert {r.shard for r in mixed.select("shard").distinct().collect()} <= set(range(5))
+    got = mixing.shuffled(mixture)
+    assert got.columns == mixture.docs.columns and got.count() == mixed.count()
+
+
+def test_shards_are_written_in_random_order(spark, tmp_path):
+    mixture = mixing.Mixture(read_table(spark, SMALL, "documents"), shards=3)
+    mixing.write_shards(mixture, str(tmp_path / "mix"))
+    got = spark.read.parquet(str(tmp_path / "mix"))
+    want = Counter((r.doc_id, r.shard) for r in mixture.mixed().select("row.doc_id", "shard").collect())
+    assert Counter((r.doc_id, r.mix_shard) for r in got.collect()) == want
+
+
 def test_hypergeometric_draws_have_the_right_mean(spark):
     draw = mixing._hypergeometric(F.lit(100).cast("long"), F.lit(30).cast("long"), F.lit(40).cast("long"), (F.col("id") + 0.5) / 2000)
     mean, sd = spark.range(2000).select(draw.alias("x")).agg(F.avg("x"), F.stddev_pop("x")).first()

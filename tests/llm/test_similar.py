@@ -45,6 +45,7 @@ def test_stage_drops_what_five_words_make_near_copies(spark):
 @pytest.mark.parametrize("block", [2, 8, 64])
 def test_large_groups_and_chains(spark, monkeypatch, block):
     monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "SLICE", 3 * block)
     monkeypatch.setattr(similar, "DENSE", block)
     monkeypatch.setattr(similar, "RECALL", 0.99999)  # so that the random texts' result is that of brute force
     rnd, rows = random.Random(5), []
@@ -73,7 +74,8 @@ def test_recall_at_the_least_similarity(size):
     chain = va == vb
     for mask, most in plan.masks():
         chain &= np.bitwise_count((xa ^ xb) & np.uint64(mask & (1 << 64) - 1)) <= most
-    close = np.array([np.bitwise_count(a ^ b).sum() <= plan.radius for a, b in prints])
+    radius = plan.radius_for(np.array(size * 0.9))
+    close = np.array([np.bitwise_count(a ^ b).sum() <= radius for a, b in prints])
     assert (chain.any(axis=1) & close).sum() >= (0.985 if size > 5 else 0.9) * n
 
 
