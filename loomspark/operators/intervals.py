@@ -1,7 +1,9 @@
 """Interval algebra over tables with chrom, start and end (0-based, half-open) and an order column.
 
-Overlap joins meet in bins of a fixed width and keep each pair in one bin only. Sweeps (merge, cluster, depth, nearest)
-are running maxima and sums over (chrom, chunk of positions), so one chromosome is many tasks.
+Overlap joins meet in bins and keep each pair in one bin only. Bins have four widths: an interval is listed in bins of
+the first width that it fits in FEW of, and in bins of the wider ones that the other table's intervals need, so a
+contig-wide interval is a few rows too. Sweeps (merge, cluster, depth, nearest) are running maxima and sums over (chrom,
+chunk of positions), so one chromosome is many tasks. Rows without a start overlap nothing, and are islands of their own.
 """
 
 from __future__ import annotations
@@ -12,23 +14,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.running import neighbour, running
+from loomspark.scratch import written
 
 #: Width of the bins of overlap joins, and of the chunks of positions that sweeps scan apart.
 BIN, CHUNK = 512, 1 << 16
+#: Bins are so many times as wide at every level; an interval has at most FEW bins at its own level but the last one.
+LEVELS, STEP, FEW = 4, 64, 8
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
+def _bins(start: Column, end: Column, width) -> Column:
     return F.sequence(F.floor(start / width), F.floor((F.greatest(end, start + 1) - 1) / width))
 
 
+def _level(width: int) -> Column:
+    """The number of the first width of which the interval needs at most FEW bins."""
+    length = F.col("end") - F.col("start")
+    out = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        out = F.when(length <= width * STEP**k * FEW, k).otherwise(out)
+    return out
+
+
+def _levels(df: DataFrame, width: int) -> list[int]:
+    return sorted(r[0] for r in df.select(_level(width)).distinct().collect())  # at most LEVELS
+
+
+def _at_level(bins: Column, level: int) -> Column:
+    return F.transform(bins, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
+
+
+def _binned(df: DataFrame, name: str, on: Sequence[str], width: int, levels: Sequence[int]) -> DataFrame:
+    """df as a struct, in the bins of its own level and of those above it among levels."""
+    own = _level(width)
+    bins = F.lit(None).cast("array<struct<level:int,bin:bigint>>")
+    for k in reversed(levels):
+        here = _at_level(_bins(F.col("start"), F.col("end"), width * STEP**k), k)
+        bins = F.when(own <= k, F.concat(here, F.coalesce(bins, F.array().cast("array<struct<level:int,bin:bigint>>")))).otherwise(bins)
+    listed = df.where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    return listed.select(F.struct("*").alias(name), *[F.col(c).alias(f"_{c}") for c in on], own.alias(f"_{name}"), F.explode(bins).alias("_at")).select("*", "_at.*").drop("_at")
+
+
 def overlaps(a: DataFrame, b: DataFrame, on: Sequence[str] = ("chrom",), width: int = BIN) -> DataFrame:
     """Pairs of rows of a and b that share at least one base, as structs `a` and `b`. An empty interval overlaps what
-    holds its position inside."""
-    left = a.select(F.struct("*").alias("a"), *[F.col(c).alias(f"_{c}") for c in on], F.explode(_bins(F.col("start"), F.col("end"), width)).alias("_bin"))
-    right = b.select(F.struct("*").alias("b"), *[F.col(c).alias(f"_{c}") for c in on], F.explode(_bins(F.col("start"), F.col("end"), width)).alias("_bin"))
-    pairs = left.join(right, [*[f"_{c}" for c in on], "_bin"])
+    holds its position inside. A pair meets at the level of the wider one of the two."""
+    levels = sorted({*_levels(a, width), *_levels(b, width)})
+    pairs = _binned(a, "a", on, width, levels).join(_binned(b, "b", on, width, levels), [*[f"_{c}" for c in on], "level", "bin"])
     touch = (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-    once = F.col("_bin") == F.floor(F.greatest("a.start", "b.start") / width)
+    if len(levels) > 1:
+        touch &= F.col("level") == F.greatest("_a", "_b")
+    widths = F.element_at(F.array(*[F.lit(width * STEP**k) for k in range(LEVELS)]), F.col("level") + 1) if len(levels) > 1 else F.lit(width * STEP ** (levels or [0])[0])
+    once = F.col("bin") == F.floor(F.greatest("a.start", "b.start") / widths)
     return pairs.where(touch & once).select("a", "b")
 
 
@@ -44,15 +79,88 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def overlapping(a: DataFrame, b: DataFrame, wanted: bool = True) -> DataFrame:
     """The rows of a with (or without) any overlap in b."""
+    a = written(a, "intervals")
     hit = overlaps(a, b).select(F.col("a.ord").alias("ord")).distinct()
     return a.join(hit, "ord", "left_semi" if wanted else "left_anti")
 
 
+def reported(a: DataFrame, b: DataFrame, of_a: float = 0.0, of_b: float = 0.0, either: bool = False, strand: str | None = None) -> DataFrame:
+    """Pairs from overlaps() that share at least the fraction of_a of a's row and of_b of b's (or one of the two with
+    `either`), on the `same` or the `opposite` strand if wanted, with `shared`, the shared bases."""
+    pairs = overlaps(a, b).withColumn("shared", overlap_length())
+    enough_a = F.col("shared") >= of_a * (F.col("a.end") - F.col("a.start"))
+    enough_b = F.col("shared") >= of_b * (F.col("b.end") - F.col("b.start"))
+    pairs = pairs.where((enough_a | enough_b) if either else (enough_a & enough_b))
+    if strand:
+        alike = F.col("a.strand") == F.col("b.strand")
+        pairs = pairs.where(alike if strand == "same" else ~alike)
+    return pairs
+
+
+def all_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every row of a with each of b that overlaps it and the shared bases; without any, b_ord is null and shared 0."""
+    a = written(a, "intervals")
+    hits = reported(a, b).select(F.col("a.ord").alias("_of"), F.col("b.ord").alias("b_ord"), "shared")
+    return a.join(hits, F.col("ord") == F.col("_of"), "left").select(F.col("ord").alias("a_ord"), "b_ord", F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
+def overlap_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """For each row of a how many rows of b overlap it."""
+    a = written(a, "intervals")
+    hits = overlaps(a, b).groupBy(F.col("a.ord").alias("ord")).agg(F.count(F.lit(1)).alias("n"))
+    return a.select("ord").join(hits, "ord", "left").na.fill(0, ["n"])
+
+
+def overlap_table(a: DataFrame, b: DataFrame, genome: DataFrame) -> DataFrame:
+    """The contingency table of an overlap test: pairs that overlap, rows of a alone, of b alone, and how many further
+    intervals of the mean length of both the genome could hold."""
+    a, b = (written(x.select("chrom", "start", "end", "ord"), "intervals") for x in (a, b))
+    hits = written(overlaps(a, b).select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord")), "hits")
+    length = F.avg(F.col("end") - F.col("start"))
+    rows = a.agg(F.count(F.lit(1)).alias("na"), length.alias("la")).join(b.agg(F.count(F.lit(1)).alias("nb"), length.alias("lb"))).join(genome.agg(F.sum("size").alias("bases")))
+    found = hits.agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("a_ord").alias("ha"), F.count_distinct("b_ord").alias("hb"))
+    one = rows.join(found)  # one row each
+    possible = F.floor(F.col("bases") / (F.col("la") + F.col("lb")))
+    only_a, only_b = F.col("na") - F.col("ha"), F.col("nb") - F.col("hb")
+    return one.select("n_both", only_a.alias("only_a"), only_b.alias("only_b"), F.greatest(F.lit(0), possible - F.col("n_both") - only_a - only_b).alias("neither"))
+
+
+def flank(df: DataFrame, genome: DataFrame, left: int, right: int, stranded: bool = False) -> DataFrame:
+    """The stretches beside each row, clipped to the chrom; empty ones are left out. `side` is left or right."""
+    minus = (F.col("strand") == "-") if stranded else F.lit(False)
+    before, after = F.when(minus, right).otherwise(left), F.when(minus, left).otherwise(right)
+    sides = F.array(
+        F.struct(F.lit("left").alias("side"), F.greatest(F.lit(0), F.col("start") - before).alias("s"), F.col("start").alias("e")),
+        F.struct(F.lit("right").alias("side"), F.col("end").alias("s"), F.least(F.col("size"), F.col("end") + after).alias("e")),
+    )
+    cut = df.join(genome, "chrom").select("chrom", "ord", F.explode(sides).alias("f"))
+    return cut.select("chrom", F.col("f.s").alias("start"), F.col("f.e").alias("end"), "ord", "f.side").where("start < end")
+
+
+def union_graphs(files: dict[str, DataFrame], filler: float = 0) -> DataFrame:
+    """Tables of scored intervals that don't overlap within a table: the stretches between all their ends, with each
+    table's score there, or the filler."""
+    graphs = {n: df.select("chrom", "start", "end", "score") for n, df in files.items()}
+    events = None
+    for name, df in graphs.items():
+        edges = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d"), F.col("score").alias("v")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"), (-F.col("score")).alias("v")))
+        one = df.select("chrom", F.lit(name).alias("file"), F.explode(edges).alias("e")).select("chrom", "file", "e.*")
+        events = one if events is None else events.unionByName(one)
+    by_pos = events.groupBy("chrom", "pos").pivot("file", list(graphs)).agg(F.sum("d").alias("d"), F.sum("v").alias("v")).na.fill(0)
+    chunk, names = F.floor(F.col("pos") / CHUNK), [f"{n}_{x}" for n in graphs for x in "dv"]
+    deep = running(by_pos, ["chrom"], chunk, ["pos"], {f"_{n}": ("sum", F.col(n)) for n in names})
+    ended = neighbour(deep, ["chrom"], chunk, ["pos"], "pos", "end", following=True)
+    some = F.greatest(F.lit(0), *[F.col(f"_{n}_d") for n in graphs]) > 0
+    scores = [F.when(F.col(f"_{n}_d") > 0, F.col(f"_{n}_v")).otherwise(filler).alias(n) for n in graphs]
+    return ended.where(some & F.col("end").isNotNull()).select("chrom", F.col("pos").alias("start"), "end", *scores)
+
+
 def islands(df: DataFrame, gap: int = 0, by: Sequence[str] = ("chrom",)) -> DataFrame:
     """df with `island`: rows that overlap, touch or are at most gap apart have the same number within their chrom."""
     chunk = F.floor(F.col("start") / CHUNK)
     order = ["start", "end", "ord"]
-    seen = running(df, by, chunk, order, {"_reach": ("max", F.col("end"))}, exclusive=True)
+    reach = F.when(F.col("start").isNotNull(), F.col("end"))
+    seen = running(df, by, chunk, order, {"_reach": ("max", reach)}, exclusive=True)
     new = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + gap), 1).otherwise(0)
     return running(seen, by, chunk, order, {"island": ("sum", new)}).drop("_reach")
 
@@ -72,7 +180,7 @@ def complement(df: DataFrame, genome: DataFrame) -> DataFrame:
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     """What of each row of a no row of b covers, as fragments in order (chrom, start, end, ord)."""
-    cut = merge(b).select("chrom", "start", "end")
+    a, cut = written(a.select("ord", "chrom", "start", "end"), "intervals"), written(merge(b).select("chrom", "start", "end"), "merged")
     hits = overlaps(a, cut).select("a.ord", F.struct(F.greatest("a.start", "b.start").alias("s"), F.least("a.end", "b.end").alias("e")).alias("cut"))
     cuts = hits.groupBy("ord").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
     rows = a.select("ord", "chrom", "start", "end").join(cuts, "ord", "left")
@@ -95,9 +203,9 @@ def window_pairs(a: DataFrame, b: DataFrame, left: int, right: int, stranded: bo
 def closest(a: DataFrame, b: DataFrame) -> DataFrame:
     """For each row of a its nearest rows of b, all ties: (a_ord, b_ord, distance). Overlap is distance 0; otherwise
     the gap and one; without any row on the chrom b_ord is null and the distance -1."""
-    a, b = a.select("chrom", "start", "end", "ord"), b.select("chrom", "start", "end", "ord")
-    hits = overlaps(a, b).select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), F.lit(0).cast("long").alias("distance"))
-    free = a.join(hits.select(F.col("a_ord").alias("ord")).distinct(), "ord", "left_anti")
+    a, b = (written(x.select("chrom", "start", "end", "ord"), "intervals") for x in (a, b))
+    hits = written(overlaps(a, b).select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), F.lit(0).cast("long").alias("distance")), "hits")
+    free = written(a.join(hits.select(F.col("a_ord").alias("ord")).distinct(), "ord", "left_anti"), "free")
 
     def nearest(b_pos: Column, a_pos: Column, sign: int) -> DataFrame:
         """The last of b's positions (times sign) up to each of a's."""
@@ -109,7 +217,7 @@ def closest(a: DataFrame, b: DataFrame) -> DataFrame:
 
     before = nearest(F.col("end"), F.col("start"), 1).withColumn("way", F.lit("end"))
     after = nearest(F.col("start"), F.col("end"), -1).withColumn("way", F.lit("start"))
-    sides = before.unionByName(after)
+    sides = written(before.unionByName(after), "sides")
     least = sides.groupBy("ord").agg(F.min("distance").alias("least"))
     best = sides.join(least, "ord").where("distance = least")
     ends = b.select("chrom", F.col("ord").alias("b_ord"), F.explode(F.array(F.struct(F.lit("end").alias("way"), F.col("end").alias("b_pos")), F.struct(F.lit("start").alias("way"), F.col("start").alias("b_pos")))).alias("m"))
@@ -131,7 +239,7 @@ def depth_runs(df: DataFrame) -> DataFrame:
 
 def genome_histogram(df: DataFrame, genome: DataFrame) -> DataFrame:
     """Bases of each chrom at each depth, 0 included, and their fraction."""
-    runs = depth_runs(df).groupBy("chrom", "depth").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
+    runs = written(depth_runs(df).groupBy("chrom", "depth").agg(F.sum(F.col("end") - F.col("start")).alias("bases")), "depths")
     covered = runs.groupBy("chrom").agg(F.sum("bases").alias("covered"))
     bare = genome.join(covered, "chrom", "left").select("chrom", F.lit(0).cast("long").alias("depth"), (F.col("size") - F.coalesce("covered", F.lit(0))).alias("bases"))
     return runs.unionByName(bare).join(genome, "chrom").select("chrom", "depth", "bases", (F.col("bases") / F.col("size")).alias("fraction"))
@@ -139,8 +247,9 @@ def genome_histogram(df: DataFrame, genome: DataFrame) -> DataFrame:
 
 def coverage(a: DataFrame, b: DataFrame) -> DataFrame:
     """For each row of a: how many rows of b overlap it, its covered bases, length and covered fraction."""
+    a, b = (written(x.select("chrom", "start", "end", "ord"), "intervals") for x in (a, b))
     hits = overlaps(a, b).groupBy("a.ord").agg(F.count(F.lit(1)).alias("n"))
-    flat = merge(b).select("chrom", "start", "end")
+    flat = written(merge(b).select("chrom", "start", "end"), "merged")
     bases = overlaps(a, flat).groupBy("a.ord").agg(F.sum(overlap_length()).alias("bases"))
     rows = a.select("ord", (F.col("end") - F.col("start")).alias("length")).join(hits, "ord", "left").join(bases, "ord", "left").na.fill(0, ["n", "bases"])
     return rows.withColumn("fraction", F.when(F.col("length") > 0, F.col("bases") / F.col("length")).otherwise(0.0))
@@ -148,6 +257,7 @@ def coverage(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def map_values(a: DataFrame, b: DataFrame, reducers: dict[str, Column]) -> DataFrame:
     """For each row of a the reducers (over columns of `b`) of the rows that overlap it; null without any."""
+    a, b = written(a, "intervals"), written(b, "intervals")
     return a.select("ord").join(overlaps(a, b).groupBy("a.ord").agg(*[c.alias(n) for n, c in reducers.items()]), "ord", "left")
 
 
@@ -158,7 +268,8 @@ def annotate(a: DataFrame, files: dict[str, DataFrame]) -> DataFrame:
     for name, df in files.items():
         one = df.select("chrom", "start", "end", "ord", F.lit(name).alias("file"))
         tagged = one if tagged is None else tagged.unionByName(one)
-    flat = merge(tagged, by=("chrom", "file")).select("chrom", "start", "end", "file")
+    a, tagged = written(a.select("chrom", "start", "end", "ord"), "intervals"), written(tagged, "tagged")
+    flat = written(merge(tagged, by=("chrom", "file")).select("chrom", "start", "end", "file"), "merged")
     counts = overlaps(a, tagged).groupBy("a.ord").pivot("b.file", list(files)).agg(F.count(F.lit(1)))
     bases = overlaps(a, flat).groupBy("a.ord").pivot("b.file", list(files)).agg(F.sum(overlap_length()))
     rows = a.select("ord", (F.col("end") - F.col("start")).alias("_len"))
@@ -170,7 +281,7 @@ def annotate(a: DataFrame, files: dict[str, DataFrame]) -> DataFrame:
 
 def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     """Bases in both, bases in either, their ratio (as 32-bit float) and the number of shared pieces."""
-    ma, mb = (merge(x).select("chrom", "start", "end") for x in (a, b))
+    ma, mb = (written(merge(x).select("chrom", "start", "end"), "merged") for x in (a, b))
     both = overlaps(ma, mb).agg(F.coalesce(F.sum(overlap_length()), F.lit(0)).alias("intersection"), F.count(F.lit(1)).alias("n"))
     length = F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))
     sizes = ma.unionAll(mb).agg(length.alias("sum"))

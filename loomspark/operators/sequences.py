@@ -101,15 +101,16 @@ def cycle_quality(reads: DataFrame) -> DataFrame:
     return per.groupBy("cycle").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("q"), 6).alias("mean_q"), *share)
 
 
-def pairwise_distance(seqs: DataFrame) -> DataFrame:
-    """Of each pair of aligned sequences of a group: compared sites, differences and the Jukes-Cantor distance (null
+def pairwise_distance(queries: DataFrame, seqs: DataFrame, blocks: int = 64) -> DataFrame:
+    """Of each query and every other aligned sequence, which it meets in blocks: compared sites, differences and the Jukes-Cantor distance (null
     where it can't be estimated). Sites with anything but A, C, G or T in either are left out."""
-    a = seqs.select("grp", F.col("id").alias("a"), F.upper("seq").alias("sa"))
-    b = seqs.select("grp", F.col("id").alias("b"), F.upper("seq").alias("sb"))
-    pairs = a.join(b, "grp").where("a < b")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    a = queries.select(F.col("id").alias("a"), F.upper("seq").alias("sa"), every.alias("block"))
+    b = seqs.select(F.col("id").alias("b"), F.upper("seq").alias("sb"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    pairs = a.join(b, "block").where("a <> b")
     n = F.least(F.length("sa"), F.length("sb"))
     sites = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.substring("sa", i, F.lit(1)).alias("x"), F.substring("sb", i, F.lit(1)).alias("y")))
     used = F.filter(sites, lambda s: s["x"].isin(*"ACGT") & s["y"].isin(*"ACGT"))
-    out = pairs.select("grp", "a", "b", used.alias("u")).select("grp", "a", "b", F.size("u").alias("sites"), F.size(F.filter("u", lambda s: s["x"] != s["y"])).alias("differences"))
+    out = pairs.select("a", "b", used.alias("u")).select("a", "b", F.size("u").alias("sites"), F.size(F.filter("u", lambda s: s["x"] != s["y"])).alias("differences"))
     p = F.col("differences") / F.col("sites")
     return out.withColumn("jc69", F.when((F.col("sites") > 0) & (p < 0.75), F.round(-0.75 * F.log(1 - p * 4 / 3), 6)))

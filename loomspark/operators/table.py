@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.cells import as_number, natural_key
 from loomspark.functions.running import neighbour, running
+from loomspark.scratch import written
 
 
 def fields(columns: Sequence[str], selectors: Sequence[str]) -> list[str]:
@@ -118,7 +119,7 @@ REDUCERS: dict[str, Callable[[Column], Column]] = {
     "ms": lambda x: F.avg(x * x),
     "countunique": F.count_distinct,
     "unique": lambda x: F.array_join(F.sort_array(F.collect_set(x.cast("string"))), ","),
-    "mode": lambda x: F.mode(x, True),
+    "jarque": lambda x: F.count(x) / 6 * (F.skewness(x) ** 2 + F.kurtosis(x) ** 2 / 4),
 }
 
 
@@ -146,17 +147,84 @@ def median_deviation(df: DataFrame, keys: Sequence[str], column: str, scale: flo
     return off.groupBy(*keys).agg((F.percentile(F.abs(F.col(column) - F.col("_mid")), 0.5) * scale).alias("mad"))
 
 
-def group_runs(df: DataFrame, keys: Sequence[str], order: str, specs: Sequence[tuple[str, str, str]], chunk_rows: int = 100_000) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[Column], name: str = "place") -> DataFrame:
+    """df with the place (from 0) of each row in the order of keys, which should leave no ties. Rows are sorted by
+    range and numbered in their partitions; the partitions' first places are running sums over one row for each."""
+    at = written(df.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    counts = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    firsts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
+    return at.withColumn("_part", part).join(firsts, "_part").select(*df.columns, (F.col("_first") + F.col("_at") - F.shiftleft("_part", 33)).alias(name))
+
+
+def reverse(df: DataFrame, order: str) -> DataFrame:
+    """The rows from the last to the first."""
+    return df.orderBy(F.col(order).desc())
+
+
+def head(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The first n rows."""
+    return df.orderBy(order).limit(n)
+
+
+def sample_rows(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
+    """n rows by the order of their keys' hashes: the same ones however the table is dealt out."""
+    return df.orderBy(hash_order(seed, *keys), *keys).limit(n)
+
+
+def split(df: DataFrame, path: str, *keys: str) -> None:
+    """The table as one folder for each value of the keys; a value's rows may be in several files."""
+    df.write.partitionBy(*keys).csv(path, header=True)
+
+
+def validate(df: DataFrame, keys: Sequence[str], required: Sequence[str] = ()) -> DataFrame:
+    """One row: how many rows, distinct keys, rows whose key others have too, and rows that lack a required cell."""
+    lacking = F.lit(False)
+    for c in required:
+        lacking |= F.col(c).isNull() | (F.col(c).cast("string") == "")
+    of = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(lacking).alias("lacking"))
+    some = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return of.agg(some("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"), some(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("n_repeated"), some("lacking").alias("n_lacking"))
+
+
+def by_frequency(df: DataFrame, keys: Sequence[str], value: str, ascending: bool = False) -> DataFrame:
+    """`frequencies` of each group: its values as `value:count`, most frequent first (or last), then by value. Values are
+    counted before a group is gathered, so a group is as long as it has distinct values."""
+    counts = df.groupBy(*keys, F.col(value).cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    item = F.struct((F.col("_n") if ascending else -F.col("_n")).alias("k"), F.col("_v").alias("v"), F.concat_ws(":", "_v", F.col("_n").cast("string")).alias("s"))
+    return counts.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["s"]), ",").alias("frequencies"))
+
+
+def distinct_numbers(df: DataFrame, keys: Sequence[str], value: str, descending: bool = False) -> DataFrame:
+    """`numbers` of each group: its distinct numbers in order."""
+    once = df.select(*keys, F.col(value).alias("_v")).where("_v IS NOT NULL").distinct()
+    return once.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("_v"), not descending).cast("array<string>"), ",").alias("numbers"))
+
+
+def modes(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """`mode` and `antimode` of each group: its most and its least frequent value, of equals the smallest."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(*keys).agg(F.min(F.struct(-F.col("_n"), "_v"))["_v"].alias("mode"), F.min(F.struct("_n", "_v"))["_v"].alias("antimode"))
+
+
+def group_runs(df: DataFrame, keys: Sequence[str], order: str, specs: Sequence[tuple[str, str, str]], chunk_rows: int = 100_000, once: bool = False) -> DataFrame:
     """Reducers of each run of rows in order with the same keys: `run` numbers the runs from 0.
 
-    order holds whole numbers; chunks of chunk_rows numbers are scanned apart.
+    order holds whole numbers; chunks of chunk_rows numbers are scanned apart, and rows without one come first. With
+    `once`, keys that come back in a later run are an error.
     """
     chunk = F.floor(F.col(order) / chunk_rows)
     packed = df.withColumn("_key", F.struct(*keys))
     before = neighbour(packed, [], chunk, [order], "_key", "_before")
     change = F.when(F.col("_before").isNull() | ~F.col("_key").eqNullSafe(F.col("_before")), 1).otherwise(0)
-    numbered = running(before, [], chunk, [order], {"_run": ("sum", change)})
-    return numbered.withColumn("run", (F.col("_run") - 1).cast("long")).groupBy("run", *keys).agg(*[reducer(op, c, order).alias(a) for c, op, a in specs])
+    runs = running(before, [], chunk, [order], {"_run": ("sum", change)}).withColumn("run", (F.col("_run") - 1).cast("long"))
+    out = runs.groupBy("run", *keys).agg(*[reducer(op, c, order).alias(a) for c, op, a in specs])
+    if once:
+        out = written(out, "runs")
+        back = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+        if back:
+            raise ValueError(f"a key comes back in a later run: {back}")
+    return out
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence, cell: Column, filler: str = "N/A") -> DataFrame:

@@ -47,11 +47,25 @@ def _ag(f):
     return lambda spark, sf_dir: f(left(spark, sf_dir), genome(spark, sf_dir))
 
 
+def _scored(df):
+    """Merged intervals with how many there were as score."""
+    return I.merge(df).withColumnRenamed("n", "score")
+
+
 QUERIES = {
     "bed_sort": _a(lambda a: a.orderBy("chrom", "start", "ord").select("chrom", "start", "end", "ord")),
     "bed_intersect": _ab(I.intersect),
     "bed_overlapping": _ab(lambda a, b: I.overlapping(a, b).select("ord")),
     "bed_not_overlapping": _ab(lambda a, b: I.overlapping(a, b, False).select("ord")),
+    "bed_intersect_fraction": _ab(lambda a, b: I.reported(a, b, 0.5).select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), "shared")),
+    "bed_intersect_reciprocal": _ab(lambda a, b: I.reported(a, b, 0.4, 0.4).select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), "shared")),
+    "bed_intersect_either": _ab(lambda a, b: I.reported(a, b, 0.6, 0.6, True).select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), "shared")),
+    "bed_intersect_strand": _ab(lambda a, b: I.reported(a, b.withColumn("strand", F.when(F.col("ord") % 2 == 0, "-").otherwise("+")), strand="same").select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), "shared")),
+    "bed_intersect_all": _ab(I.all_overlaps),
+    "bed_intersect_count": _ab(I.overlap_counts),
+    "bed_fisher": lambda s, d: I.overlap_table(left(s, d), right(s, d), genome(s, d)),
+    "bed_flank": _ag(lambda a, g: I.flank(a, g, 40, 7, True)),
+    "bed_union_graphs": _ab(lambda a, b: I.union_graphs({"one": _scored(b.where("ord % 2 = 1")), "two": _scored(b.where("ord % 2 = 0"))}, -1)),
     "bed_merge": _ab(lambda a, b: I.merge(b)),
     "bed_cluster": _ab(lambda a, b: I.islands(b, 20).select("chrom", "ord", "island")),
     "bed_cluster_strand": _a(lambda a: I.islands(a, 5, ("chrom", "strand")).select("chrom", "strand", "ord", "island")),
@@ -104,7 +118,31 @@ def _cluster(table: str, gap: int, by: str) -> str:
 _BINS = """(SELECT chrom, bin, sum((least("end", (bin + 1) * 1000) - greatest(start, bin * 1000)) * depth) / 1000.0 AS mean
     FROM (SELECT *, unnest(range(start // 1000, ("end" - 1) // 1000 + 1)) AS bin FROM dp WHERE depth > 0 AND "end" IS NOT NULL) GROUP BY 1, 2)"""
 
+_MERGED_HALF = """SELECT chrom, min(start) AS start, max("end") AS "end", count(*) AS score FROM (
+        SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end", ord) AS i FROM (
+        SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end", ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b WHERE ord % 2 = {})) GROUP BY chrom, i"""
+_SHARED = "least(a_end, b_end) - greatest(a_start, b_start)"
+
 _BODY = {
+    "bed_intersect_fraction": f"SELECT a_ord, b_ord, {_SHARED} AS shared FROM hits WHERE {_SHARED} >= 0.5 * (a_end - a_start)",
+    "bed_intersect_reciprocal": f"SELECT a_ord, b_ord, {_SHARED} AS shared FROM hits WHERE {_SHARED} >= 0.4::DOUBLE * (a_end - a_start) AND {_SHARED} >= 0.4::DOUBLE * (b_end - b_start)",
+    "bed_intersect_either": f"SELECT a_ord, b_ord, {_SHARED} AS shared FROM hits WHERE {_SHARED} >= 0.6::DOUBLE * (a_end - a_start) OR {_SHARED} >= 0.6::DOUBLE * (b_end - b_start)",
+    "bed_intersect_strand": f"SELECT a_ord, b_ord, {_SHARED} AS shared FROM hits JOIN a ON a.ord = a_ord WHERE a.strand = CASE WHEN b_ord % 2 = 0 THEN '-' ELSE '+' END",
+    "bed_intersect_all": f"SELECT a.ord AS a_ord, b_ord, coalesce({_SHARED}, 0) AS shared FROM a LEFT JOIN hits ON a_ord = a.ord",
+    "bed_intersect_count": "SELECT a.ord, count(b_ord) AS n FROM a LEFT JOIN hits ON a_ord = a.ord GROUP BY 1",
+    "bed_fisher": """, f AS (SELECT (SELECT count(*) FROM hits) AS n_both, (SELECT count(*) FROM a) - (SELECT count(DISTINCT a_ord) FROM hits) AS only_a,
+        (SELECT count(*) FROM b) - (SELECT count(DISTINCT b_ord) FROM hits) AS only_b,
+        floor((SELECT sum(size) FROM g) / ((SELECT avg("end" - start) FROM a) + (SELECT avg("end" - start) FROM b)))::BIGINT AS possible)
+        SELECT n_both, only_a, only_b, greatest(0, possible - n_both - only_a - only_b) AS neither FROM f""",
+    "bed_flank": """SELECT * FROM (SELECT a.chrom, greatest(0, start - CASE WHEN strand = '-' THEN 7 ELSE 40 END) AS start, start AS "end", ord, 'left' AS side FROM a
+        UNION ALL SELECT a.chrom, "end", least(size, "end" + CASE WHEN strand = '-' THEN 40 ELSE 7 END), ord, 'right' FROM a JOIN g ON g.chrom = a.chrom) WHERE start < "end\"""",
+    "bed_union_graphs": f""", m1 AS ({_MERGED_HALF.format(1)}), m0 AS ({_MERGED_HALF.format(0)}),
+        e AS (SELECT DISTINCT chrom, unnest([start, "end"]) AS pos FROM (SELECT chrom, start, "end" FROM m1 UNION ALL SELECT chrom, start, "end" FROM m0)),
+        s AS (SELECT chrom, pos AS start, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS "end" FROM e)
+        SELECT s.chrom, s.start, s."end", coalesce(m1.score, -1) AS one, coalesce(m0.score, -1) AS two FROM s
+        LEFT JOIN m1 ON m1.chrom = s.chrom AND m1.start <= s.start AND s."end" <= m1."end"
+        LEFT JOIN m0 ON m0.chrom = s.chrom AND m0.start <= s.start AND s."end" <= m0."end"
+        WHERE s."end" IS NOT NULL AND (m1.score IS NOT NULL OR m0.score IS NOT NULL)""",
     "bed_sort": 'SELECT chrom, start, "end", ord FROM a ORDER BY chrom, start, ord',
     "bed_intersect": 'SELECT chrom, greatest(a_start, b_start) AS start, least(a_end, b_end) AS "end", a_ord, b_ord FROM hits',
     "bed_overlapping": "SELECT DISTINCT a_ord AS ord FROM hits",

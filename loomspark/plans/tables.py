@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspark.functions.cells import as_number, compared
+from loomspark.functions.cells import arithmetic, as_number, compared, is_in
 from loomspark.operators import table as T
 from loomspark.session import read_table
 
@@ -31,15 +31,15 @@ def table_filter(spark, sf_dir):
 
 
 def table_sort(spark, sf_dir):
-    """The first rows of a numeric sort with ties by order."""
+    """The place of every row in a numeric sort with ties by order."""
     parts = read_table(spark, sf_dir, "part").withColumn("cell", F.when(F.col("p_partkey") % 7 == 0, "n/a").otherwise((F.col("p_retailprice") % 50).cast("int").cast("string")))
-    return parts.orderBy(*T.sort_keys([("cell", "number", True), ("p_brand", "nocase", False)], "p_partkey")).limit(50).select("p_partkey", "cell", "p_brand")
+    return T.numbered(parts.select("p_partkey", "cell", "p_brand"), T.sort_keys([("cell", "number", True), ("p_brand", "nocase", False)], "p_partkey"))
 
 
 def table_natural_sort(spark, sf_dir):
-    """The rank of every brand and size label in natural order."""
+    """The place of every label in natural order."""
     labels = read_table(spark, sf_dir, "part").select(F.concat(F.lit("b"), F.col("p_size").cast("string"), F.lit("x"), (F.col("p_partkey") % 12).cast("string")).alias("label")).distinct()
-    return labels.orderBy(*T.sort_keys([("label", "natural", False)], "label")).limit(40)
+    return T.numbered(labels, T.sort_keys([("label", "natural", False)], "label"))
 
 
 def table_join_inner(spark, sf_dir):
@@ -73,7 +73,7 @@ def table_reducers(spark, sf_dir):
 
 
 def table_text_reducers(spark, sf_dir):
-    """first, last, collapse, unique, countunique, mode and perc."""
+    """first, last, collapse, unique, countunique and perc."""
     nation = read_table(spark, sf_dir, "nation").withColumn("letter", F.substring("n_name", 1, 1))
     specs = [("n_name", "first", "first"), ("n_name", "last", "last"), ("n_nationkey", "collapse", "keys"), ("letter", "unique", "letters"), ("letter", "countunique", "n_letters"), ("n_nationkey", "perc:90", "p90")]
     return T.group_by(nation, ["n_regionkey"], specs, "n_nationkey").withColumn("p90", F.round("p90", 6))
@@ -130,13 +130,60 @@ def table_sample(spark, sf_dir):
 
 
 def table_shuffle(spark, sf_dir):
-    """The first rows in a seeded random order."""
-    return read_table(spark, sf_dir, "orders").select("o_orderkey", T.hash_order(3, "o_orderkey").alias("place")).orderBy("place").limit(100)
+    """The place of every row in a seeded random order."""
+    return T.numbered(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), [T.hash_order(3, "o_orderkey"), F.col("o_orderkey")])
+
+
+def table_head(spark, sf_dir):
+    return T.head(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 25, "o_orderkey")
+
+
+def table_sample_rows(spark, sf_dir):
+    return T.sample_rows(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 50, 11, "o_orderkey")
+
+
+def table_reverse(spark, sf_dir):
+    """The places of all rows from the last to the first."""
+    return T.numbered(T.reverse(read_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey"), [F.col("o_orderkey").desc()])
+
+
+def table_validate(spark, sf_dir):
+    return T.validate(read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_linestatus", "l_quantity"])
+
+
+def table_filter_in(spark, sf_dir):
+    """Membership by typed equality, and arithmetic of cells."""
+    parts = read_table(spark, sf_dir, "part").withColumn("cell", F.col("p_size").cast("string"))
+    half = arithmetic(arithmetic(F.col("cell"), "*", F.lit("3")), "%", F.lit("7"))
+    return parts.where(is_in(F.col("cell"), [F.lit("7"), F.lit("1e1"), F.lit("x")]) | (half > 5)).select("p_partkey", "cell", half.alias("rest"))
+
+
+def table_modes(spark, sf_dir):
+    return T.modes(read_table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
+
+
+def table_frequencies(spark, sf_dir):
+    return T.by_frequency(read_table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_orderpriority")
+
+
+def table_frequencies_ascending(spark, sf_dir):
+    return T.by_frequency(read_table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_orderpriority", True)
+
+
+def table_distinct_numbers(spark, sf_dir):
+    return T.distinct_numbers(read_table(spark, sf_dir, "part"), ["p_brand"], "p_size", True)
+
+
+def table_moments(spark, sf_dir):
+    """Higher moments and means of all lines of a ship mode."""
+    ops = ("geomean", "pskew", "pkurt", "skurt", "jarque", "ms")
+    out = T.group_by(read_table(spark, sf_dir, "lineitem"), ["l_linestatus"], [("l_quantity", op, op) for op in ops])
+    return out.select("l_linestatus", *[F.round(op, 4).alias(op) for op in ops])
 
 
 def table_gather(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return T.gather(li, ["l_orderkey"], ["l_quantity", "l_discount", "l_tax"], "measure", "amount")
+    li = read_table(spark, sf_dir, "lineitem")
+    return T.gather(li, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "measure", "amount")
 
 
 def table_spread(spark, sf_dir):
@@ -210,6 +257,8 @@ def table_semi_anti(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
+    table_head, table_sample_rows, table_reverse, table_validate, table_filter_in, table_modes, table_frequencies, table_frequencies_ascending,
+    table_distinct_numbers, table_moments,
     table_groupby_lineitem, table_select, table_filter, table_sort, table_natural_sort, table_join_inner, table_join_left,
     table_join_full, table_reducers, table_text_reducers, table_mad, table_consecutive, table_crosstab, table_concat,
     table_grep, table_intersect, table_uniq, table_uniq_three, table_freq, table_sample, table_shuffle, table_gather,
@@ -231,10 +280,10 @@ ORACLE_SQL = {
         WHERE (p_size % 3 <> 0 AND p_size < 10) OR (p_size % 3 = 0 AND cell >= 'Brand#3' AND regexp_matches(p_name, '^[a-m]'))""",
     "table_sort": """
         WITH c AS (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN 'n/a' ELSE trunc(p_retailprice % 50)::INT::VARCHAR END AS cell FROM part)
-        SELECT p_partkey, cell, p_brand FROM c ORDER BY try_cast(cell AS DOUBLE) DESC NULLS LAST, lower(p_brand), p_partkey LIMIT 50""",
+        SELECT p_partkey, cell, p_brand, row_number() OVER (ORDER BY try_cast(cell AS DOUBLE) DESC NULLS LAST, lower(p_brand), p_partkey) - 1 AS place FROM c""",
     "table_natural_sort": """
         WITH l AS (SELECT DISTINCT p_size AS a, p_partkey % 12 AS b FROM part)
-        SELECT 'b' || a || 'x' || b AS label FROM l ORDER BY a, b LIMIT 40""",
+        SELECT 'b' || a || 'x' || b AS label, row_number() OVER (ORDER BY a, b) - 1 AS place FROM l""",
     "table_join_inner": "SELECT o_orderkey, o_custkey, o_orderstatus, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey",
     "table_join_left": "SELECT c_custkey, c_name, coalesce(o_orderkey, -1) AS o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 250000",
     "table_join_full": """
@@ -277,10 +326,29 @@ ORACLE_SQL = {
     "table_uniq_three": "SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 3",
     "table_freq": "SELECT event_type, count(*) AS frequency FROM events GROUP BY 1",
     "table_sample": "SELECT o_orderkey, o_custkey FROM orders WHERE ('0x' || md5('7|' || o_orderkey)[1:8])::BIGINT < 429496729",
-    "table_shuffle": "SELECT o_orderkey, md5('3|' || o_orderkey) AS place FROM orders ORDER BY place LIMIT 100",
+    "table_shuffle": "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY md5('3|' || o_orderkey), o_orderkey) - 1 AS place FROM orders",
+    "table_head": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 25",
+    "table_sample_rows": "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('11|' || o_orderkey), o_orderkey LIMIT 50",
+    "table_reverse": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS place FROM orders",
+    "table_validate": """
+        SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_keys, sum(CASE WHEN n > 1 THEN n ELSE 0 END)::BIGINT AS n_repeated, sum(k)::BIGINT AS n_lacking
+        FROM (SELECT count(*) AS n, count(*) FILTER (l_linestatus IS NULL OR l_linestatus = '' OR l_quantity IS NULL) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
+    "table_filter_in": "SELECT p_partkey, p_size::VARCHAR AS cell, (p_size * 3 % 7)::DOUBLE AS rest FROM part WHERE p_size IN (7, 10) OR p_size * 3 % 7 > 5",
+    "table_modes": """
+        SELECT l_returnflag, l_linestatus, arg_min(l_quantity, (-n, l_quantity)) AS mode, arg_min(l_quantity, (n, l_quantity)) AS antimode
+        FROM (SELECT l_returnflag, l_linestatus, l_quantity, count(*) AS n FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY ALL) GROUP BY 1, 2""",
+    "table_frequencies": "SELECT o_orderstatus, string_agg(v || ':' || n, ',' ORDER BY n DESC, v) AS frequencies FROM (SELECT o_orderstatus, o_orderpriority AS v, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1",
+    "table_frequencies_ascending": "SELECT o_orderstatus, string_agg(v || ':' || n, ',' ORDER BY n, v) AS frequencies FROM (SELECT o_orderstatus, o_orderpriority AS v, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1",
+    "table_distinct_numbers": "SELECT p_brand, string_agg(p_size::VARCHAR, ',' ORDER BY p_size DESC) AS numbers FROM (SELECT DISTINCT p_brand, p_size FROM part) GROUP BY 1",
+    "table_moments": """
+        WITH m AS (SELECT l_linestatus, count(*) AS n, exp(avg(ln(l_quantity))) AS g, avg(l_quantity * l_quantity) AS ms, avg(l_quantity) AS u FROM lineitem GROUP BY 1),
+        c AS (SELECT l_linestatus, n, g, ms, avg((l_quantity - u) ** 2) AS m2, avg((l_quantity - u) ** 3) AS m3, avg((l_quantity - u) ** 4) AS m4 FROM lineitem JOIN m USING (l_linestatus) GROUP BY 1, 2, 3, 4),
+        k AS (SELECT *, m3 / m2 ** 1.5 AS s, m4 / (m2 * m2) - 3 AS e FROM c)
+        SELECT l_linestatus, round(g, 4) AS geomean, round(s, 4) AS pskew, round(e, 4) AS pkurt, round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * e + 6), 4) AS skurt,
+               round(n / 6 * (s * s + e * e / 4), 4) AS jarque, round(ms, 4) AS ms FROM k""",
     "table_gather": """
-        SELECT l_orderkey, unnest(['l_quantity', 'l_discount', 'l_tax']) AS measure, unnest([l_quantity, l_discount, l_tax]) AS amount
-        FROM lineitem WHERE l_linenumber = 1""",
+        SELECT l_orderkey, l_linenumber, unnest(['l_quantity', 'l_discount', 'l_tax']) AS measure, unnest([l_quantity, l_discount, l_tax]) AS amount
+        FROM lineitem""",
     "table_spread": """
         SELECT l_suppkey, round(sum(l_quantity) FILTER (l_returnflag = 'A'), 2) AS A, round(sum(l_quantity) FILTER (l_returnflag = 'N'), 2) AS N,
                round(sum(l_quantity) FILTER (l_returnflag = 'R'), 2) AS R FROM lineitem GROUP BY 1""",
