@@ -1,14 +1,16 @@
-"""Helpers that the operators share: scratch tables, safe names and word expressions."""
+"""Helpers that the operators share: small batches, safe names and word expressions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.scratch import discard, written
+
+__all__ = ["discard", "let", "small_batches", "text_or_empty", "uniform", "whole_row", "word_count", "written"]
+
 #: ASCII white space, as the contracts state it, and its complement, for Java and Python regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,37 +28,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where a local session names none, as in tests, a new local one is set; on
-    a cluster, whose executors wouldn't see it, that is an error."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and still there when an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the folder of a table that written() made; df isn't readable any more."""
-    path = getattr(df, "_written_at", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def whole_row(df: DataFrame) -> Column:
     """All columns of df as one struct, so that computed columns can't clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
