@@ -14,8 +14,8 @@ its budget are pruned. The others go on to the whole Hamming distance and at las
 
 Equal sets are one row from the start. A segment's bucket of up to DENSE documents gives its pairs. In a larger one, as
 large groups of near copies have, the documents meet two of their number first. What then isn't in the bucket's largest
-component yet is compared with that component by the whole fingerprints, in blocks, and verified against all within the
-radius. So nothing is dropped or capped, and only documents that share a segment with a large group and aren't linked
+component yet is compared with that component in blocks, by the whole fingerprints and then by the sets of all within
+the radius. So nothing is dropped or capped, and only documents that share a segment with a large group and aren't linked
 to it by then are compared with all of it.
 
 Defined results: null text counts as empty, and texts without words are copies of each other; links are transitive; of
@@ -196,7 +196,7 @@ def _star_pairs(large: DataFrame, plan: Plan) -> DataFrame:
     return met.select(*_ordered(F.col("fp"), F.col("end.fp")))
 
 
-def _open_units(large: DataFrame, labels: DataFrame, prints: DataFrame) -> DataFrame:
+def _open_units(large: DataFrame, labels: DataFrame, prints: DataFrame, sets_of) -> DataFrame:
     """What of large buckets isn't in their largest component meets that component, as units (main, block, slice).
 
     A unit holds up to about BLOCK such documents (`asks`) and about SLICE of what they meet: the component, and all
@@ -219,12 +219,14 @@ def _open_units(large: DataFrame, labels: DataFrame, prints: DataFrame) -> DataF
         return rows.join(sizes, "main").select("main", "fp", "label", place, every, F.lit(asks).alias("asks"))
 
     both = dealt(rest, "block", "blocks", "slice", "slices", True).unionByName(dealt(met, "slice", "slices", "block", "blocks", False))
-    both = both.join(prints.select("fp", "n", "bits"), "fp").select("main", "block", "slice", "asks", "fp", "label", "n", "bits")
+    known = prints.select("fp", "n", "bits").join(written(sets_of(met.select("fp").distinct()), "similar-sets"), "fp")
+    both = both.join(written(known, "similar-known"), "fp").select("main", "block", "slice", "asks", "fp", "label", "n", "bits", "hashes")
     return both.repartition("main", "block", "slice").sortWithinPartitions("main", "block", "slice", F.col("asks").desc())
 
 
-def _unit_pairs(units: DataFrame, plan: Plan) -> DataFrame:
-    """Of every unit the pairs of other components within the radius."""
+def _unit_links(units: DataFrame, plan: Plan) -> DataFrame:
+    """Of every unit links of other components: pairs within the radius are verified on the sets, of each document that
+    asks and each component until one is found."""
 
     def close(one: pd.DataFrame, two: pd.DataFrame) -> pa.RecordBatch:
         x, y = (np.frombuffer(b"".join(t["bits"]), np.uint64).reshape(len(t), -1) for t in (one, two))
@@ -233,10 +235,15 @@ def _unit_pairs(units: DataFrame, plan: Plan) -> DataFrame:
             apart += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
         na, nb = one["n"].to_numpy()[:, None], two["n"].to_numpy()[None, :]
         ok = (apart <= plan.radius_for(np.minimum(na, nb))) & (np.minimum(na, nb) >= plan.similarity * np.maximum(na, nb))
-        ok &= one["label"].to_numpy()[:, None] != two["label"].to_numpy()[None, :]
-        i, j = np.nonzero(ok)
-        a, b = one["fp"].to_numpy()[i], two["fp"].to_numpy()[j]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        labels = two["label"].to_numpy()
+        ok &= one["label"].to_numpy()[:, None] != labels[None, :]
+        links, linked = [], set()
+        for i, j in zip(*(k.tolist() for k in np.nonzero(ok))):
+            if (i, labels[j]) not in linked and similar(np.frombuffer(one["hashes"].iat[i], np.uint64), np.frombuffer(two["hashes"].iat[j], np.uint64), plan.similarity):
+                linked.add((i, labels[j]))
+                links.append(sorted((int(one["fp"].iat[i]), int(two["fp"].iat[j]))))
+        a, b = zip(*links) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A unit's documents that ask come first and are held; those that they meet are met as they come."""
@@ -255,7 +262,8 @@ def _unit_pairs(units: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, prints: DataFrame, sets_of, plan: Plan) -> DataFrame:
-    """Of the pairs (a, b) those within the radius and then those whose sets are similar."""
+    """Of the pairs (a, b) those within the radius, and of these links that join all whose sets are similar: two pairs of
+    each document are verified first, twice, and then those that lie between different components."""
 
     @F.pandas_udf("int")
     def apart(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -276,7 +284,31 @@ def _verified(pairs: DataFrame, prints: DataFrame, sets_of, plan: Plan) -> DataF
     radius = F.when(least < LONG, plan.radius).otherwise(plan.long_radius)
     near = written(pairs.where(least >= most * plan.similarity).where(apart("bits_a", "bits_b") <= radius).select("a", "b"), "similar-near")
     sets = written(sets_of(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), "similar-sets")
-    return written(both(near, sets, "hashes").where(alike("hashes_a", "hashes_b")).select("a", "b"), "similar-links")
+    out = None
+    for last in (False, False, True):
+        some = near if last else _partners(near)
+        found = written(both(some, sets, "hashes").where(alike("hashes_a", "hashes_b")).select("a", "b"), "similar-links")
+        out = found if out is None else out.unionByName(found)
+        if not last:
+            near = _between(near, written(connected_components(out), "similar-found"))
+    return out
+
+
+def _partners(pairs: DataFrame) -> DataFrame:
+    """Of the pairs up to two for each document: the first and the last by a hash."""
+    sides = pairs.select(F.col("a").alias("me"), "a", "b").unionAll(pairs.select(F.col("b").alias("me"), "a", "b"))
+    pair, by = F.struct("a", "b"), F.xxhash64("a", "b")
+    ends = sides.groupBy("me").agg(F.array(F.min_by(pair, by), F.max_by(pair, by)).alias("ends"))
+    return ends.select(F.explode("ends").alias("e")).select("e.*").distinct()
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose documents aren't in one component yet."""
+    for side in ("a", "b"):
+        of = labels.select(F.col("vertex").alias(f"v_{side}"), F.col("component").alias(f"c_{side}"))
+        pairs = pairs.join(of, F.col(side) == F.col(f"v_{side}"), "left")
+    apart = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
+    return written(pairs.where(apart).select("a", "b"), "similar-between")
 
 
 def links(prints: DataFrame, sets_of, plan: Plan) -> DataFrame:
@@ -291,7 +323,7 @@ def links(prints: DataFrame, sets_of, plan: Plan) -> DataFrame:
     if large.isEmpty():
         return first
     found = written(connected_components(first), "similar-found")
-    return first.unionByName(_verified(_unit_pairs(_open_units(large, found, prints), plan), prints, sets_of, plan))
+    return first.unionByName(written(_unit_links(_open_units(large, found, prints, sets_of), plan), "similar-links"))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
