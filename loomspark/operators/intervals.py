@@ -57,6 +57,7 @@ def _binned(df: DataFrame, name: str, on: Sequence[str], width: int, levels: Seq
 def overlaps(a: DataFrame, b: DataFrame, on: Sequence[str] = ("chrom",), width: int = BIN) -> DataFrame:
     """Pairs of rows of a and b that share at least one base, as structs `a` and `b`. An empty interval overlaps what
     holds its position inside. A pair meets at the level of the wider one of the two."""
+    a, b = (x if hasattr(x, "_written_at") else written(x, "intervals") for x in (a, b))  # read for the levels and the join
     levels = sorted({*_levels(a, width), *_levels(b, width)})
     pairs = _binned(a, "a", on, width, levels).join(_binned(b, "b", on, width, levels), [*[f"_{c}" for c in on], "level", "bin"])
     touch = (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
