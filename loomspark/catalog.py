@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import alignments, events, intervals, science, sequences, tables
+from loomspark.plans import alignments, events, intervals, science, sequences, tables, variants
 
-_PARTS = (tables, intervals, alignments, sequences, science, events)
+_PARTS = (tables, intervals, alignments, sequences, science, events, variants)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
 FLAGSHIP = "bed_closest"

@@ -363,3 +363,27 @@ def smoothed(df: DataFrame, bins: int) -> DataFrame:
     """(chrom, bin, mean) with the mean over as many bins to each side; bins that aren't there count as 0."""
     w = Window.partitionBy("chrom").orderBy("bin").rangeBetween(-bins, bins)
     return df.withColumn("smooth", F.sum("mean").over(w) / (2 * bins + 1))
+
+
+def lifted(df: DataFrame, blocks: DataFrame, least: float) -> DataFrame:
+    """For each row where it lies in another assembly: to_chrom, to_start, to_end, way and a status.
+
+    blocks are the stretches of chains without gaps: chrom, start, end, chain, to_chrom, to_start (of its first base
+    there, on the plus strand) and way. A row is `lifted` if one chain alone maps at least the share `least` of its
+    bases, from the first to the last mapped one; else it is `deleted` (nothing maps), `partly` (too little of it does),
+    `split` (over several chains) or `several` (more than one chain maps enough) and has no place.
+    """
+    df = written(df.select("chrom", "start", "end", "ord"), "intervals")
+    pairs = overlaps(df, blocks)
+    start, end = F.greatest("a.start", "b.start"), F.least("a.end", "b.end")
+    back = F.col("b.way") == "-"
+    first = F.when(back, F.col("b.end") - end).otherwise(start - F.col("b.start")) + F.col("b.to_start")
+    pieces = pairs.select("a.ord", (F.col("a.end") - F.col("a.start")).alias("length"), "b.chain", "b.to_chrom", "b.way", first.alias("to_start"), (first + end - start).alias("to_end"))
+    chains = pieces.groupBy("ord", "chain", "to_chrom", "way").agg(
+        F.min("to_start").alias("to_start"), F.max("to_end").alias("to_end"), (F.sum(F.col("to_end") - F.col("to_start")) >= F.first("length") * least).alias("enough")
+    )
+    place = F.struct("to_chrom", "to_start", "to_end", "way")
+    found = chains.groupBy("ord").agg(F.count(F.lit(1)).alias("chains"), F.count_if("enough").alias("good"), F.max(F.when(F.col("enough"), place)).alias("place"))
+    status = F.when(F.col("chains").isNull(), "deleted").when(F.col("good") == 1, "lifted").when(F.col("good") > 1, "several").when(F.col("chains") > 1, "split").otherwise("partly")
+    out = df.select("ord").join(found, "ord", "left").withColumn("status", status)
+    return out.select("ord", *[F.when(F.col("status") == "lifted", F.col("place")[c]).alias(c) for c in ("to_chrom", "to_start", "to_end", "way")], "status")
