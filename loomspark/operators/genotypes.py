@@ -107,3 +107,11 @@ def presence(files: dict[str, DataFrame], keys: list[str]) -> DataFrame:
         every = one if every is None else every.unionByName(one)
     bits = every.groupBy(*keys, "nth").agg(F.bit_or("bit").alias("bits"))
     return bits.withColumn("files", F.reverse(F.lpad(F.conv(F.col("bits").cast("string"), 10, 2), len(files), "0"))).drop("bits")
+
+
+def joint_spectrum(counts: DataFrame) -> DataFrame:
+    """For each pair of populations how many sites that are complete in both have each pair of allele counts."""
+    most = counts.groupBy("pop").agg(F.max("an").alias("most"))
+    rows = counts.join(most, "pop").where("an = most")
+    a, b = (rows.select("site", F.col("pop").alias(s), F.col("ac").alias(f"count_{s}")) for s in "ab")
+    return a.join(b, "site").where("a < b").groupBy("a", "b", "count_a", "count_b").agg(F.count(F.lit(1)).alias("sites"))

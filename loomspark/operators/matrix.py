@@ -114,3 +114,47 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     pairs = queries.join(vectors, "label").where("q <> id").select("q", "id", F.round(dot, 6).alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("cosine").desc(), "id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def alr(m: DataFrame, reference: str) -> DataFrame:
+    """Additive log-ratio: the log of each other part over the reference's of its sample. Zeros are errors; a sample
+    without the reference has no rows."""
+    base = m.where(F.col("feature") == reference).select("sample", F.col("x").alias("_of"))
+    rest = m.where(F.col("feature") != reference).join(base, "sample")
+    value = F.when((F.col("x") > 0) & (F.col("_of") > 0), F.log(F.col("x") / F.col("_of"))).otherwise(F.raise_error(F.lit("log of a part that isn't positive")))
+    return rest.withColumn("x", value).drop("_of")
+
+
+def robust_clr(m: DataFrame) -> DataFrame:
+    """Centred log-ratio over the positive parts of each sample; others are left out."""
+    logs = m.where("x > 0").withColumn("x", F.log("x"))
+    return logs.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("sample")))
+
+
+def perturbed(m: DataFrame, by: DataFrame) -> DataFrame:
+    """Closed products of each sample's parts with `by` (feature, y); features that either lacks are left out."""
+    return closure(m.join(by, "feature").withColumn("x", F.col("x") * F.col("y")).drop("y"))
+
+
+def powered(m: DataFrame, exponent: float) -> DataFrame:
+    """Closed powers of each sample's closed parts."""
+    return closure(closure(m).withColumn("x", F.pow("x", F.lit(exponent))))
+
+
+def evenness(counts: DataFrame) -> DataFrame:
+    """Inverse Simpson, its share of the observed features and the Berger-Parker share of the largest, of each sample."""
+    sums = counts.where("x > 0").groupBy("sample").agg(F.count(F.lit(1)).alias("k"), F.sum("x").alias("n"), F.sum(F.col("x") * F.col("x")).alias("s2"), F.max("x").alias("most"))
+    inverse = F.col("n") * F.col("n") / F.col("s2")
+    return sums.select("sample", inverse.alias("inv_simpson"), (inverse / F.col("k")).alias("simpson_e"), (F.col("most") / F.col("n")).alias("berger_parker"))
+
+
+def canberra(counts: DataFrame) -> DataFrame:
+    """Canberra distance of each pair of samples that share a feature: only shared features are paired, as each feature
+    of one sample alone counts 1."""
+    some = counts.where("x > 0")
+    own = some.groupBy("sample").agg(F.count(F.lit(1)).alias("k"))
+    a, b = (some.select("feature", F.col("sample").alias(s), F.col("x").alias(f"x{s}")) for s in "ab")
+    gap = F.abs(F.col("xa") - F.col("xb")) / (F.col("xa") + F.col("xb"))
+    both = a.join(b, "feature").where("a < b").groupBy("a", "b").agg(F.sum(gap).alias("d"), F.count(F.lit(1)).alias("shared"))
+    full = both.join(own.select(F.col("sample").alias("a"), F.col("k").alias("ka")), "a").join(own.select(F.col("sample").alias("b"), F.col("k").alias("kb")), "b")
+    return full.select("a", "b", (F.col("d") + F.col("ka") + F.col("kb") - 2 * F.col("shared")).alias("canberra"))

@@ -114,3 +114,31 @@ def pairwise_distance(queries: DataFrame, seqs: DataFrame, blocks: int = 64) ->
     out = pairs.select("a", "b", used.alias("u")).select("a", "b", F.size("u").alias("sites"), F.size(F.filter("u", lambda s: s["x"] != s["y"])).alias("differences"))
     p = F.col("differences") / F.col("sites")
     return out.withColumn("jc69", F.when((F.col("sites") > 0) & (p < 0.75), F.round(-0.75 * F.log(1 - p * 4 / 3), 6)))
+
+
+def trim_poly(reads: DataFrame, base: str, least: int) -> DataFrame:
+    """Reads (seq, qual) without a tail of at least so many copies of a base."""
+    rows = reads.withColumn("_keep", F.length(F.regexp_replace("seq", "(?i)%s{%d,}$" % (base, least), "")))
+    return rows.withColumns({c: F.left(c, F.col("_keep")) for c in ("seq", "qual")}).drop("_keep")
+
+
+def complexity(seq: Column) -> Column:
+    """The share of bases that differ from the next one; null below two bases."""
+    runs = F.length(F.regexp_replace(F.upper(seq), r"(.)\1+", "$1"))
+    return F.when(F.length(seq) > 1, (runs - 1) / (F.length(seq) - 1))
+
+
+def judged(reads: DataFrame, shortest: int = 15, most_n: int = 5, mean: float = 0.0, low: int = 15, low_share: float = 0.4, complex_share: float = 0.0) -> DataFrame:
+    """Reads with `verdict`: the first of these that holds. length (under shortest), quality (over low_share of the bases
+    below low, or a mean below mean), n (more than most_n unknown bases), complexity (below complex_share); else pass.
+    A null sequence or quality counts as empty."""
+    seq, qual = F.coalesce("seq", F.lit("")), F.coalesce("qual", F.lit(""))
+    rows = reads.withColumn("_q", dna.qualities(qual))
+    n = F.size("_q")
+    poor = F.size(F.filter("_q", lambda x: x < low)) > n * low_share
+    weak = F.aggregate("_q", F.lit(0).cast("long"), lambda a, x: a + x) < n * mean
+    verdict = (
+        F.when(F.length(seq) < shortest, "length").when(poor | weak, "quality").when(dna.count_of(F.upper(seq), "N") > most_n, "n")
+        .when(complexity(seq) < complex_share, "complexity").otherwise("pass")
+    )
+    return rows.withColumn("verdict", verdict).drop("_q")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import genotypes as G
 from loomspark.operators import matrix as M
+from loomspark.operators import variants as V
 from loomspark.session import read_table
 
 R = lambda df, *cols, d=6: df.withColumns({c: F.round(c, d) for c in cols})
@@ -73,6 +74,15 @@ QUERIES = {
     "popgen_sfs": _g(lambda g: G.spectrum(G.population_counts(g))),
     "ecology_alpha": _c(lambda c: R(M.alpha(c), "shannon", "simpson", "dominance", "pielou_e", "chao1", "goods")),
     "ecology_beta": _c(lambda c: R(M.beta(c), "braycurtis", "jaccard", "euclidean")),
+    "composition_alr": _c(lambda c: R(M.alr(c, "Brand#11"), "x")),
+    "composition_rclr": _c(lambda c: R(M.robust_clr(c.withColumn("x", F.col("x") - 3)), "x")),
+    "composition_perturb": _c(lambda c: R(M.perturbed(c, c.groupBy("feature").agg(F.max("x").alias("y"))), "x")),
+    "composition_power": _c(lambda c: R(M.powered(c, 0.5), "x")),
+    "ecology_evenness": _c(lambda c: R(M.evenness(c), "inv_simpson", "simpson_e", "berger_parker")),
+    "ecology_canberra": _c(lambda c: R(M.canberra(c), "canberra")),
+    "popgen_joint_sfs": _g(lambda g: G.joint_spectrum(G.population_counts(g))),
+    "popgen_sfs_unfolded": _g(lambda g: G.spectrum(G.population_counts(g), False)),
+    "vcf_setgt": _g(lambda g: V.set_genotypes(g, F.col("alts").isNull() | (F.col("sample") % 7 == 0), F.lit(0)).groupBy("site").agg(F.sum("alts").alias("ac"), F.count("alts").alias("ns"))),
     "composition_clr": _c(lambda c: R(M.clr(c), "x")),
     "composition_replace": _c(lambda c: R(M.multi_replace(c.withColumn("x", F.greatest(F.lit(0), F.col("x") - 5)), 0.001), "x", d=9)),
     "composition_vlr": _c(lambda c: R(M.log_ratio_variance(c), "vlr")),
@@ -112,6 +122,10 @@ _BODY = {
     "popgen_between": """, p AS (SELECT a.pop AS a, b.pop AS b, a.ac / a.an AS p, b.ac / b.an AS q, a.an AS na, b.an AS nb FROM pc a JOIN pc b ON a.site = b.site AND a.pop < b.pop WHERE a.an > 1 AND b.an > 1),
         s AS (SELECT a, b, count(*) AS sites, sum(p * (1 - q) + q * (1 - p)) AS dxy, count(*) FILTER ((p = 0 AND q = 1) OR (p = 1 AND q = 0)) AS fixed, sum((p - q) * (p - q) - p * (1 - p) / (na - 1) - q * (1 - q) / (nb - 1)) AS num FROM p GROUP BY 1, 2)
         SELECT a, b, sites, round(dxy, 6) AS dxy, fixed, CASE WHEN dxy > 0 THEN round(num / dxy, 6) END AS fst FROM s""",
+    "popgen_joint_sfs": """, k AS (SELECT site, pop, ac FROM pc JOIN (SELECT pop, max(an) AS most FROM pc GROUP BY 1) USING (pop) WHERE an = most)
+        SELECT a.pop AS a, b.pop AS b, a.ac AS count_a, b.ac AS count_b, count(*) AS sites FROM k a JOIN k b ON a.site = b.site AND a.pop < b.pop GROUP BY 1, 2, 3, 4""",
+    "popgen_sfs_unfolded": "SELECT pop, ac AS count, count(*) AS sites FROM pc JOIN (SELECT pop, max(an) AS most FROM pc GROUP BY 1) USING (pop) WHERE an = most GROUP BY 1, 2",
+    "vcf_setgt": "SELECT site, sum(CASE WHEN alts IS NULL OR sample % 7 = 0 THEN 0 ELSE alts END)::BIGINT AS ac, count(*) AS ns FROM g GROUP BY 1",
     "popgen_sfs": "SELECT pop, least(ac, an - ac) AS count, count(*) AS sites FROM pc JOIN (SELECT pop, max(an) AS most FROM pc GROUP BY 1) USING (pop) WHERE an = most GROUP BY 1, 2",
     "ecology_alpha": """, n AS (SELECT *, x / sum(x) OVER (PARTITION BY sample) AS p, sum(x) OVER (PARTITION BY sample) AS n FROM c),
         s AS (SELECT sample, count(*) AS o, max(n) AS n, sum(-p * log2(p)) AS h, sum(p * p) AS d, count(*) FILTER (x = 1) AS f1, count(*) FILTER (x = 2) AS f2 FROM n GROUP BY 1)
@@ -119,6 +133,13 @@ _BODY = {
     "ecology_beta": """, f AS (SELECT DISTINCT feature FROM c), s AS (SELECT DISTINCT sample FROM c), d AS (SELECT feature, sample, coalesce(x, 0) AS x FROM f CROSS JOIN s LEFT JOIN c USING (feature, sample))
         SELECT a.sample AS a, b.sample AS b, round(sum(abs(a.x - b.x)) / sum(a.x + b.x), 6) AS braycurtis, round(1 - count(*) FILTER (a.x > 0 AND b.x > 0) / count(*) FILTER (a.x > 0 OR b.x > 0), 6) AS jaccard,
                round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 6) AS euclidean, sum(abs(a.x - b.x))::BIGINT AS cityblock FROM d a JOIN d b ON a.feature = b.feature AND a.sample < b.sample GROUP BY 1, 2""",
+    "composition_alr": "SELECT c.feature, sample, round(ln(c.x / r.x), 6) AS x FROM c JOIN (SELECT sample, x FROM c WHERE feature = 'Brand#11') r USING (sample) WHERE feature <> 'Brand#11'",
+    "composition_rclr": "SELECT feature, sample, round(ln(x - 3) - avg(ln(x - 3)) OVER (PARTITION BY sample), 6) AS x FROM c WHERE x > 3",
+    "composition_perturb": "SELECT feature, sample, round(x * y / sum(x * y) OVER (PARTITION BY sample), 6) AS x FROM c JOIN (SELECT feature, max(x) AS y FROM c GROUP BY 1) USING (feature)",
+    "composition_power": "SELECT feature, sample, round(sqrt(x) / sum(sqrt(x)) OVER (PARTITION BY sample), 6) AS x FROM c",
+    "ecology_evenness": "SELECT sample, round(sum(x) ** 2 / sum(x * x), 6) AS inv_simpson, round(sum(x) ** 2 / sum(x * x) / count(*), 6) AS simpson_e, round(max(x) / sum(x), 6) AS berger_parker FROM c GROUP BY 1",
+    "ecology_canberra": """, s AS (SELECT DISTINCT sample FROM c), f AS (SELECT DISTINCT feature FROM c), w AS (SELECT sample, feature, coalesce(x, 0) AS x FROM s CROSS JOIN f LEFT JOIN c USING (sample, feature))
+        SELECT p.sample AS a, q.sample AS b, round(sum(CASE WHEN p.x + q.x > 0 THEN abs(p.x - q.x) / (p.x + q.x) ELSE 0 END), 6) AS canberra FROM w p JOIN w q USING (feature) WHERE p.sample < q.sample GROUP BY 1, 2 HAVING sum(p.x * q.x) > 0""",
     "composition_clr": "SELECT feature, sample, round(ln(x) - avg(ln(x)) OVER (PARTITION BY sample), 6) AS x FROM c",
     "composition_replace": """, y AS (SELECT feature, sample, greatest(0, x - 5) AS x FROM c), z AS (SELECT *, x / sum(x) OVER (PARTITION BY sample) AS p, count(*) FILTER (x = 0) OVER (PARTITION BY sample) AS z FROM y)
         SELECT feature, sample, round(CASE WHEN p = 0 THEN 0.001 ELSE p * (1 - z * 0.001) END, 9) AS x FROM z""",

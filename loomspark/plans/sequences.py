@@ -29,6 +29,11 @@ def reads(spark, sf_dir):
     return queries_of(spark, sf_dir).select("id", "seq", F.translate("seq", "ACGT", "I?5+").alias("qual")).where("seq <> ''")
 
 
+def long_reads(spark, sf_dir):
+    """Documents as reads with a quality for each base."""
+    return seqs(spark, sf_dir).select("id", "seq", F.translate("seq", "ACGT", "I?5+").alias("qual"))
+
+
 def _s(f):
     return lambda spark, sf_dir: f(seqs(spark, sf_dir))
 
@@ -58,6 +63,8 @@ QUERIES = {
     "seq_sketch_compare": seq_compare,
     "seq_dict": _s(lambda s: s.select("id", F.length("seq").alias("length"), F.md5(F.upper("seq")).alias("md5"))),
     "fastq_trim": lambda s, d: S.trim_tail(reads(s, d), 4, 20.0).select("id", F.length("seq").alias("n"), F.md5("qual").alias("md5")),
+    "fastq_judge": lambda s, d: S.judged(long_reads(s, d), 60, 0, 25.6, 11, 0.27, 0.7).select("id", "verdict"),
+    "fastq_poly": lambda s, d: S.trim_poly(S.trim_poly(long_reads(s, d), "G", 2), "A", 2).select("id", F.length("seq").alias("n"), F.length("qual").alias("n_qual")),
     "fastq_cycles": lambda s, d: S.cycle_quality(reads(s, d)),
     "phylo_distance": seq_distance,
 }
@@ -99,6 +106,11 @@ _BODY = {
     "fastq_trim": """, b AS (SELECT id, list_transform(range(1, length(qual) + 1), lambda i: ascii(substr(qual, i::INT, 1)) - 33) AS qs, seq, qual FROM r),
         w AS (SELECT id, seq, qual, list_filter(range(1, greatest(length(qual) - 3, 1) + 1), lambda i: list_sum(qs[i:i + 3]) < 80) AS bad FROM b)
         SELECT id, coalesce(bad[1] - 1, length(seq))::INT AS n, md5(substr(qual, 1, coalesce(bad[1] - 1, length(seq))::INT)) AS md5 FROM w""",
+    "fastq_judge": """, n AS (SELECT id, length(seq) AS n, length(replace(seq, 'A', '')) AS a, length(replace(seq, 'C', '')) AS c, length(replace(seq, 'G', '')) AS g, length(replace(seq, 'T', '')) AS t,
+        length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g')) AS runs FROM s)
+        SELECT id, CASE WHEN n < 60 THEN 'length' WHEN n - t > n * 0.27::DOUBLE OR (n - a) * 40 + (n - c) * 30 + (n - g) * 20 + (n - t) * 10 < n * 25.6::DOUBLE THEN 'quality'
+            WHEN (runs - 1) / (n - 1) < 0.7::DOUBLE THEN 'complexity' ELSE 'pass' END AS verdict FROM n""",
+    "fastq_poly": "SELECT id, length(regexp_replace(regexp_replace(seq, 'G{2,}$', ''), 'A{2,}$', ''))::INT AS n, length(regexp_replace(regexp_replace(seq, 'G{2,}$', ''), 'A{2,}$', ''))::INT AS n_qual FROM s",
     "fastq_cycles": """, c AS (SELECT i::INT AS cycle, substr(seq, i::INT, 1) AS base, ascii(substr(qual, i::INT, 1)) - 33 AS x FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM r))
         SELECT cycle, count(*) AS n, round(avg(x), 6) AS mean_q, round(count(*) FILTER (base = 'A') / count(*), 6) AS A, round(count(*) FILTER (base = 'C') / count(*), 6) AS C,
                round(count(*) FILTER (base = 'G') / count(*), 6) AS G, round(count(*) FILTER (base = 'T') / count(*), 6) AS T FROM c GROUP BY 1""",
