@@ -11,6 +11,7 @@ from loomspark.llm.embedding_dedup import near_vectors
 from loomspark.llm.exact_dedup import exact_groups
 from loomspark.llm.mixing import Mixture
 from loomspark.llm.packing import pack
+from loomspark.llm.prefix_trie import prefix_trie
 from loomspark.llm.sharding import assign_shards
 from loomspark.llm.simhash import near_groups
 from loomspark.llm.toxicity import grade_documents
@@ -87,6 +88,15 @@ def op10_simhash(spark, sf_dir):
     return near_groups(read_table(spark, sf_dir, "documents"))
 
 
+#: Heads of rebuilt conversations have less than so many turns.
+HEADS = 9
+
+
+def op12_prefix_trie(spark, sf_dir):
+    conv = F.col("conv_id")
+    return prefix_trie(read_table(spark, sf_dir, "conversations"), base=conv - conv % 5, head=F.crc32(conv.cast("string")) % HEADS)
+
+
 QUERIES = {
     "op1_shard": op1_shard,
     "op2_bpe": op2_bpe,
@@ -98,6 +108,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -123,4 +134,19 @@ ORACLE_SQL = {
         SELECT u.conv_id, u.n_turns, u.n_copies,
                list_aggregate(list_transform(u.ts, lambda x: '<|im_start|>' || replace(replace(x.r, '<|', '< |'), '|>', '| >') || chr(10) || replace(replace(x.t, '<|', '< |'), '|>', '| >') || '<|im_end|>' || chr(10)), 'string_agg', '') AS rendered
         FROM u WHERE NOT EXISTS (SELECT 1 FROM pre WHERE pre.n_turns = u.n_turns AND pre.ts = u.ts)""",
+    "op12_prefix_trie": r"""
+        WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS of_byte),
+        t AS (SELECT conv_id, conv_id::VARCHAR AS s, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts
+              FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (SELECT conv_id, ts, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT)),
+                                                              lambda c, x: xor(c >> 8, of_byte[(xor(c, x) & 255) + 1]))) % 9 AS h FROM t, crc),
+        r AS (SELECT h.conv_id, list_concat(coalesce(b.ts[1:h.h], []), h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN h b ON b.conv_id = h.conv_id - h.conv_id % 5),
+        m AS (SELECT conv_id, len(ts) AS n, ts, unnest(range(0, len(ts) + 1)) AS depth FROM r),
+        nodes AS (SELECT depth, ts[1:depth] AS p, min(conv_id) AS conv_id, count(*) AS n_convs, count(*) FILTER (depth = n) AS n_ends,
+                         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = n), '') AS ids FROM m GROUP BY ALL),
+        kids AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        up AS (SELECT p, (n_convs = n_ends)::BIGINT AS leaf, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(p[depth].t) END AS saved, unnest(range(0, depth + 1)) AS d FROM nodes),
+        sums AS (SELECT p[1:d] AS p, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY 1)
+        SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(n.ids) AS ends_sha256
+        FROM nodes n JOIN sums s ON s.p = n.p LEFT JOIN kids k ON k.p = n.p LEFT JOIN nodes q ON n.depth > 0 AND q.depth = n.depth - 1 AND q.p = n.p[1:n.depth - 1]""",
 }
