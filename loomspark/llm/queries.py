@@ -9,7 +9,9 @@ from loomspark.llm.bpe import encode_table
 from loomspark.llm.chat import format_chats
 from loomspark.llm.embedding_dedup import near_vectors
 from loomspark.llm.exact_dedup import exact_groups
+from loomspark.llm.hard_negatives import hard_negatives
 from loomspark.llm.mixing import Mixture
+from loomspark.llm.ordered_packing import pack_in_order
 from loomspark.llm.packing import pack
 from loomspark.llm.prefix_trie import prefix_trie
 from loomspark.llm.sharding import assign_shards
@@ -88,6 +90,11 @@ def op10_simhash(spark, sf_dir):
     return near_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op11_pack_in_order(spark, sf_dir):
+    pieces = pack_in_order(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 #: Heads of rebuilt conversations have less than so many turns.
 HEADS = 9
 
@@ -97,6 +104,12 @@ def op12_prefix_trie(spark, sf_dir):
     return prefix_trie(read_table(spark, sf_dir, "conversations"), base=conv - conv % 5, head=F.crc32(conv.cast("string")) % HEADS)
 
 
+def op13_hard_negatives(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", "embedding", label.alias("label")))
+
+
 QUERIES = {
     "op1_shard": op1_shard,
     "op2_bpe": op2_bpe,
@@ -108,7 +121,9 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
+    "op11_pack_in_order": op11_pack_in_order,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -149,4 +164,13 @@ ORACLE_SQL = {
         sums AS (SELECT p[1:d] AS p, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY 1)
         SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(n.ids) AS ends_sha256
         FROM nodes n JOIN sums s ON s.p = n.p LEFT JOIN kids k ON k.p = n.p LEFT JOIN nodes q ON n.depth > 0 AND q.depth = n.depth - 1 AND q.p = n.p[1:n.depth - 1]""",
+    "op13_hard_negatives": r"""
+        WITH v AS (SELECT DISTINCT vec_id AS id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS q
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.id % 100 = 0 AND b.id <> a.id),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS "rank", n.id AS negative_id,
+               p.score AS positive_score, n.score AS negative_score
+        FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+        QUALIFY "rank" <= 5""",
 }
