@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.operators import intervals as I
+from loomspark.operators.nearest import nearest
 from loomspark.session import read_table
 
 CHROMS = 8
@@ -73,6 +74,8 @@ QUERIES = {
     "bed_subtract": _ab(I.subtract),
     "bed_window": _ab(lambda a, b: I.window_pairs(a, b, 30, 10, True)),
     "bed_closest": _ab(I.closest),
+    "bed_closest_k": _ab(lambda a, b: nearest(a, b, 3)),
+    "bed_closest_upstream": _ab(lambda a, b: nearest(a, b, 2, "first", False, oriented="a", downstream=False)),
     "bed_coverage": _ab(lambda a, b: I.coverage(a, b).withColumn("fraction", F.round("fraction", 6))),
     "bed_genomecov": lambda s, d: I.genome_histogram(left(s, d), genome(s, d)).withColumn("fraction", F.round("fraction", 9)),
     "bed_depth_runs": _ab(lambda a, b: I.depth_runs(b)),
@@ -164,6 +167,20 @@ _BODY = {
         SELECT a_ord, b_ord, 0::BIGINT AS distance FROM hits
         UNION ALL SELECT DISTINCT near.ord, b.ord, least(before, after) FROM near JOIN b ON b.chrom = near.chrom AND ((b."end" = pe AND before <= coalesce(after, before)) OR (b.start = ns AND after <= coalesce(before, after)))
         UNION ALL SELECT ord, NULL, -1 FROM near WHERE before IS NULL AND after IS NULL""",
+    "bed_closest_k": """, st AS (SELECT chrom, start AS pos, row_number() OVER (PARTITION BY chrom ORDER BY start) AS r FROM (SELECT DISTINCT chrom, start FROM b)),
+        en AS (SELECT chrom, "end" AS pos, row_number() OVER (PARTITION BY chrom ORDER BY "end") AS r FROM (SELECT DISTINCT chrom, "end" FROM b)),
+        sides AS (SELECT a.ord, a.chrom, s.pos - a."end" + 1 AS d, s.pos AS s_pos, NULL AS e_pos FROM a ASOF JOIN st ON a.chrom = st.chrom AND a."end" <= st.pos JOIN st s ON s.chrom = st.chrom AND s.r >= st.r AND s.r < st.r + 3
+            UNION ALL SELECT a.ord, a.chrom, a.start - e.pos + 1, NULL, e.pos FROM a ASOF JOIN en ON a.chrom = en.chrom AND a.start >= en.pos JOIN en e ON e.chrom = en.chrom AND e.r <= en.r AND e.r > en.r - 3),
+        cand AS (SELECT a_ord, b_ord, 0::BIGINT AS distance FROM hits UNION ALL SELECT x.ord, b.ord, d FROM sides x JOIN b ON b.chrom = x.chrom AND b.start = s_pos UNION ALL SELECT x.ord, b.ord, d FROM sides x JOIN b ON b.chrom = x.chrom AND b."end" = e_pos),
+        best AS (SELECT * FROM cand QUALIFY rank() OVER (PARTITION BY a_ord ORDER BY distance) <= 3)
+        SELECT a_ord, b_ord, distance FROM best UNION ALL SELECT ord, NULL, -1 FROM a WHERE ord NOT IN (SELECT a_ord FROM best)""",
+    "bed_closest_upstream": """, st AS (SELECT chrom, start AS pos, row_number() OVER (PARTITION BY chrom ORDER BY start) AS r FROM (SELECT DISTINCT chrom, start FROM b)),
+        en AS (SELECT chrom, "end" AS pos, row_number() OVER (PARTITION BY chrom ORDER BY "end") AS r FROM (SELECT DISTINCT chrom, "end" FROM b)),
+        sides AS (SELECT a.ord, a.chrom, s.pos - a."end" + 1 AS d, s.pos AS s_pos, NULL AS e_pos FROM a ASOF JOIN st ON a.chrom = st.chrom AND a."end" <= st.pos JOIN st s ON s.chrom = st.chrom AND s.r >= st.r AND s.r < st.r + 2 WHERE strand = '-'
+            UNION ALL SELECT a.ord, a.chrom, a.start - e.pos + 1, NULL, e.pos FROM a ASOF JOIN en ON a.chrom = en.chrom AND a.start >= en.pos JOIN en e ON e.chrom = en.chrom AND e.r <= en.r AND e.r > en.r - 2 WHERE strand <> '-'),
+        cand AS (SELECT x.ord AS a_ord, b.ord AS b_ord, d FROM sides x JOIN b ON b.chrom = x.chrom AND b.start = s_pos UNION ALL SELECT x.ord, b.ord, d FROM sides x JOIN b ON b.chrom = x.chrom AND b."end" = e_pos),
+        best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY a_ord ORDER BY d, b_ord) <= 2)
+        SELECT a_ord, b_ord, -d AS distance FROM best UNION ALL SELECT ord, NULL, -1 FROM a WHERE ord NOT IN (SELECT a_ord FROM best)""",
     "bed_coverage": """SELECT a.ord, "end" - start AS length, coalesce(n, 0) AS n, coalesce(bases, 0)::BIGINT AS bases, round(coalesce(bases, 0) / ("end" - start), 6) AS fraction FROM a
         LEFT JOIN (SELECT a_ord, count(*) AS n FROM hits GROUP BY 1) ON a_ord = a.ord
         LEFT JOIN (SELECT a.ord AS o, sum(least(a."end", mb."end") - greatest(a.start, mb.start)) AS bases FROM a JOIN mb ON a.chrom = mb.chrom AND a.start < mb."end" AND mb.start < a."end" GROUP BY 1) ON o = a.ord""",
