@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.functions.checks import required
 from loomspark.functions.running import neighbour, running
 from loomspark.scratch import written
 
@@ -126,6 +127,12 @@ def overlap_table(a: DataFrame, b: DataFrame, genome: DataFrame) -> DataFrame:
     return one.select("n_both", only_a.alias("only_a"), only_b.alias("only_b"), F.greatest(F.lit(0), possible - F.col("n_both") - only_a - only_b).alias("neither"))
 
 
+def _sized(df: DataFrame, genome: DataFrame) -> DataFrame:
+    """df with the size of its chrom; a chrom that the genome lacks is an error."""
+    known = df.join(genome, "chrom", "left")
+    return required(known, F.col("size").isNotNull(), F.concat(F.lit("not in the genome: "), F.coalesce("chrom", F.lit("null"))))
+
+
 def flank(df: DataFrame, genome: DataFrame, left: int, right: int, stranded: bool = False) -> DataFrame:
     """The stretches beside each row, clipped to the chrom; empty ones are left out. `side` is left or right."""
     minus = (F.col("strand") == "-") if stranded else F.lit(False)
@@ -134,25 +141,26 @@ def flank(df: DataFrame, genome: DataFrame, left: int, right: int, stranded: boo
         F.struct(F.lit("left").alias("side"), F.greatest(F.lit(0), F.col("start") - before).alias("s"), F.col("start").alias("e")),
         F.struct(F.lit("right").alias("side"), F.col("end").alias("s"), F.least(F.col("size"), F.col("end") + after).alias("e")),
     )
-    cut = df.join(genome, "chrom").select("chrom", "ord", F.explode(sides).alias("f"))
+    cut = _sized(df, genome).select("chrom", "ord", F.explode(sides).alias("f"))
     return cut.select("chrom", F.col("f.s").alias("start"), F.col("f.e").alias("end"), "ord", "f.side").where("start < end")
 
 
 def union_graphs(files: dict[str, DataFrame], filler: float = 0) -> DataFrame:
     """Tables of scored intervals that don't overlap within a table: the stretches between all their ends, with each
-    table's score there, or the filler."""
+    table's score there, or the filler. The score is that of the interval that began last, as it was given."""
     graphs = {n: df.select("chrom", "start", "end", "score") for n, df in files.items()}
     events = None
     for name, df in graphs.items():
-        edges = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d"), F.col("score").alias("v")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"), (-F.col("score")).alias("v")))
+        edges = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d"), F.col("score").alias("v")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"), F.lit(None).alias("v")))
         one = df.select("chrom", F.lit(name).alias("file"), F.explode(edges).alias("e")).select("chrom", "file", "e.*")
         events = one if events is None else events.unionByName(one)
-    by_pos = events.groupBy("chrom", "pos").pivot("file", list(graphs)).agg(F.sum("d").alias("d"), F.sum("v").alias("v")).na.fill(0)
-    chunk, names = F.floor(F.col("pos") / CHUNK), [f"{n}_{x}" for n in graphs for x in "dv"]
-    deep = running(by_pos, ["chrom"], chunk, ["pos"], {f"_{n}": ("sum", F.col(n)) for n in names})
+    begun = F.max(F.when(F.col("d") == 1, F.struct("pos", "v")))
+    by_pos = events.groupBy("chrom", "pos").pivot("file", list(graphs)).agg(F.sum("d").alias("d"), begun.alias("v")).na.fill(0)
+    chunk = F.floor(F.col("pos") / CHUNK)
+    deep = running(by_pos, ["chrom"], chunk, ["pos"], {f"_{n}_{x}": (how, F.col(f"{n}_{x}")) for n in graphs for x, how in (("d", "sum"), ("v", "max"))})
     ended = neighbour(deep, ["chrom"], chunk, ["pos"], "pos", "end", following=True)
     some = F.greatest(F.lit(0), *[F.col(f"_{n}_d") for n in graphs]) > 0
-    scores = [F.when(F.col(f"_{n}_d") > 0, F.col(f"_{n}_v")).otherwise(filler).alias(n) for n in graphs]
+    scores = [F.when(F.col(f"_{n}_d") > 0, F.col(f"_{n}_v")["v"]).otherwise(filler).alias(n) for n in graphs]
     return ended.where(some & F.col("end").isNotNull()).select("chrom", F.col("pos").alias("start"), "end", *scores)
 
 
@@ -263,8 +271,8 @@ def map_values(a: DataFrame, b: DataFrame, reducers: dict[str, Column]) -> DataF
 
 
 def annotate(a: DataFrame, files: dict[str, DataFrame]) -> DataFrame:
-    """For each row of a and each table: how many rows overlap it and the fraction of it that they cover, one join for
-    all tables."""
+    """For each row of a and each table: how many rows overlap it and the fraction of it that they cover (0 of an empty
+    row), one join for all tables."""
     tagged, flat = None, None
     for name, df in files.items():
         one = df.select("chrom", "start", "end", "ord", F.lit(name).alias("file"))
@@ -276,7 +284,7 @@ def annotate(a: DataFrame, files: dict[str, DataFrame]) -> DataFrame:
     rows = a.select("ord", (F.col("end") - F.col("start")).alias("_len"))
     for df, suffix in ((counts, "n"), (bases, "bases")):
         rows = rows.join(df.select("ord", *[F.col(n).alias(f"{n}_{suffix}") for n in files]), "ord", "left")
-    cols = [F.coalesce(f"{n}_n", F.lit(0)).alias(f"{n}_n") for n in files] + [F.round(F.coalesce(f"{n}_bases", F.lit(0)) / F.col("_len"), 6).alias(f"{n}_fraction") for n in files]
+    cols = [F.coalesce(f"{n}_n", F.lit(0)).alias(f"{n}_n") for n in files] + [F.when(F.col("_len") > 0, F.round(F.coalesce(f"{n}_bases", F.lit(0)) / F.col("_len"), 6)).otherwise(0.0).alias(f"{n}_fraction") for n in files]
     return rows.select("ord", *cols)
 
 
@@ -302,14 +310,14 @@ def slop(df: DataFrame, genome: DataFrame, left: int, right: int, stranded: bool
     minus = (F.col("strand") == "-") if stranded else F.lit(False)
     start = F.col("start") - F.when(minus, right).otherwise(left)
     end = F.col("end") + F.when(minus, left).otherwise(right)
-    return df.join(genome, "chrom").withColumns({"start": F.least(F.greatest(start, F.lit(0)), F.col("size")), "end": F.greatest(F.least(end, F.col("size")), F.lit(0))}).drop("size")
+    return _sized(df, genome).withColumns({"start": F.least(F.greatest(start, F.lit(0)), F.col("size")), "end": F.greatest(F.least(end, F.col("size")), F.lit(0))}).drop("size")
 
 
 def shift(df: DataFrame, genome: DataFrame, by: int) -> DataFrame:
     """Rows moved along the chrom and clipped to it, keeping at least one base."""
     start = F.greatest(F.lit(0), F.least(F.col("start") + by, F.col("size") - 1))
     end = F.greatest(F.lit(1), F.least(F.col("end") + by, F.col("size")))
-    return df.join(genome, "chrom").withColumns({"start": start, "end": end}).drop("size")
+    return _sized(df, genome).withColumns({"start": start, "end": end}).drop("size")
 
 
 def make_windows(df: DataFrame, size: int, step: int) -> DataFrame:

@@ -41,7 +41,8 @@ def beta(counts: DataFrame) -> DataFrame:
 
 
 def closure(m: DataFrame) -> DataFrame:
-    return m.withColumn("x", F.col("x") / F.sum("x").over(Window.partitionBy("sample")))
+    """Each sample's parts as shares of their sum; those of a sample whose sum is zero are null."""
+    return m.withColumn("x", F.try_divide("x", F.sum("x").over(Window.partitionBy("sample"))))
 
 
 def clr(m: DataFrame) -> DataFrame:
@@ -73,11 +74,12 @@ def anova(m: DataFrame) -> DataFrame:
 
 
 def normalized(counts: DataFrame, lengths: DataFrame) -> DataFrame:
-    """CPM, FPKM and TPM of counts with the features' lengths (feature, length)."""
+    """CPM, FPKM and TPM of counts with the features' lengths (feature, length). All of a sample without counts and the
+    last two of a feature without length are null."""
     by = Window.partitionBy("sample")
-    rate = F.col("x") / F.col("length")
+    rate = F.try_divide(F.col("x"), F.col("length"))
     return counts.join(lengths, "feature").withColumns({"total": F.sum("x").over(by), "rates": F.sum(rate).over(by)}).select(
-        "feature", "sample", (F.col("x") * 1e6 / F.col("total")).alias("cpm"), (rate * 1e9 / F.col("total")).alias("fpkm"), (rate * 1e6 / F.col("rates")).alias("tpm")
+        "feature", "sample", F.try_divide(F.col("x") * 1e6, "total").alias("cpm"), F.try_divide(rate * 1e9, "total").alias("fpkm"), F.try_divide(rate * 1e6, "rates").alias("tpm")
     )
 
 
@@ -149,12 +151,13 @@ def evenness(counts: DataFrame) -> DataFrame:
 
 
 def canberra(counts: DataFrame) -> DataFrame:
-    """Canberra distance of each pair of samples that share a feature: only shared features are paired, as each feature
-    of one sample alone counts 1."""
+    """Canberra distance of each pair of samples with any counts: only shared features are joined, as each feature of one
+    sample alone counts 1. The pairs are as many as the square of the samples."""
     some = counts.where("x > 0")
     own = some.groupBy("sample").agg(F.count(F.lit(1)).alias("k"))
     a, b = (some.select("feature", F.col("sample").alias(s), F.col("x").alias(f"x{s}")) for s in "ab")
     gap = F.abs(F.col("xa") - F.col("xb")) / (F.col("xa") + F.col("xb"))
     both = a.join(b, "feature").where("a < b").groupBy("a", "b").agg(F.sum(gap).alias("d"), F.count(F.lit(1)).alias("shared"))
-    full = both.join(own.select(F.col("sample").alias("a"), F.col("k").alias("ka")), "a").join(own.select(F.col("sample").alias("b"), F.col("k").alias("kb")), "b")
-    return full.select("a", "b", (F.col("d") + F.col("ka") + F.col("kb") - 2 * F.col("shared")).alias("canberra"))
+    one, two = (own.select(F.col("sample").alias(s), F.col("k").alias(f"k{s}")) for s in "ab")
+    every = one.join(two, F.col("a") < F.col("b")).join(both, ["a", "b"], "left").na.fill(0, ["d", "shared"])
+    return every.select("a", "b", (F.col("d") + F.col("ka") + F.col("kb") - 2 * F.col("shared")).alias("canberra"))

@@ -88,6 +88,17 @@ def _moment_kurt(x: Column) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
 
 
+def _geometric_mean(x: Column) -> Column:
+    """Null if a number is negative, else 0 if one is zero."""
+    logs = F.exp(F.avg(F.when(x > 0, F.log(x))))
+    return F.when(F.count_if(x < 0) > 0, F.lit(None)).when(F.count_if(x == 0) > 0, 0.0).otherwise(logs)
+
+
+def _harmonic_mean(x: Column) -> Column:
+    """0 if a number is zero; null if the reciprocals add up to zero."""
+    return F.when(F.count_if(x == 0) > 0, 0.0).otherwise(F.try_divide(F.count(x), F.sum(F.when(x != 0, 1 / x))))
+
+
 def _percentile(p: float) -> Callable[[Column], Column]:
     return lambda x: F.percentile(x, p)
 
@@ -101,8 +112,8 @@ REDUCERS: dict[str, Callable[[Column], Column]] = {
     "absmin": lambda x: F.min(F.abs(x)),
     "absmax": lambda x: F.max(F.abs(x)),
     "range": lambda x: F.max(x) - F.min(x),
-    "geomean": lambda x: F.exp(F.avg(F.log(x))),
-    "harmmean": lambda x: F.count(x) / F.sum(1 / x),
+    "geomean": _geometric_mean,
+    "harmmean": _harmonic_mean,
     "pvar": F.var_pop,
     "svar": F.var_samp,
     "pstdev": F.stddev_pop,

@@ -36,16 +36,17 @@ def trimmed(variants: DataFrame) -> DataFrame:
 
 
 def kind() -> Column:
-    """snp, mnp (several bases for as many), indel, ref (no change) or other."""
+    """snp, mnp (several bases for as many), indel, ref (no change) or other; letters of either case."""
     n, m = F.length("ref"), F.length("alt")
-    plain = F.col("ref").rlike("^[ACGTN]+$") & F.col("alt").rlike("^[ACGTN]+$")
-    known = F.when(F.col("ref") == F.col("alt"), "ref").when(n != m, "indel").when(n == 1, "snp").otherwise("mnp")
+    plain = F.col("ref").rlike("^[ACGTNacgtn]+$") & F.col("alt").rlike("^[ACGTNacgtn]+$")
+    known = F.when(F.upper("ref") == F.upper("alt"), "ref").when(n != m, "indel").when(n == 1, "snp").otherwise("mnp")
     return F.when(plain, known).otherwise("other")
 
 
 def transition() -> Column:
     """Whether a single-base change stays among purines or among pyrimidines."""
-    return (F.col("ref").isin(*PURINES) & F.col("alt").isin(*PURINES)) | (F.col("ref").isin(*PYRIMIDINES) & F.col("alt").isin(*PYRIMIDINES))
+    ref, alt = F.upper("ref"), F.upper("alt")
+    return (ref.isin(*PURINES) & alt.isin(*PURINES)) | (ref.isin(*PYRIMIDINES) & alt.isin(*PYRIMIDINES))
 
 
 def report(variants: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -64,8 +65,8 @@ def ts_tv_by_quality(variants: DataFrame, width: float) -> DataFrame:
 
 
 def substitutions(variants: DataFrame) -> DataFrame:
-    """How often each base stands for each other one."""
-    return variants.where(kind() == "snp").groupBy("ref", "alt").agg(F.count(F.lit(1)).alias("n"))
+    """How often each base, in upper case, stands for each other one."""
+    return variants.where(kind() == "snp").groupBy(F.upper("ref").alias("ref"), F.upper("alt").alias("alt")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def indel_lengths(variants: DataFrame) -> DataFrame:

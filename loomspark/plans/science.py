@@ -139,7 +139,7 @@ _BODY = {
     "composition_power": "SELECT feature, sample, round(sqrt(x) / sum(sqrt(x)) OVER (PARTITION BY sample), 6) AS x FROM c",
     "ecology_evenness": "SELECT sample, round(sum(x) ** 2 / sum(x * x), 6) AS inv_simpson, round(sum(x) ** 2 / sum(x * x) / count(*), 6) AS simpson_e, round(max(x) / sum(x), 6) AS berger_parker FROM c GROUP BY 1",
     "ecology_canberra": """, s AS (SELECT DISTINCT sample FROM c), f AS (SELECT DISTINCT feature FROM c), w AS (SELECT sample, feature, coalesce(x, 0) AS x FROM s CROSS JOIN f LEFT JOIN c USING (sample, feature))
-        SELECT p.sample AS a, q.sample AS b, round(sum(CASE WHEN p.x + q.x > 0 THEN abs(p.x - q.x) / (p.x + q.x) ELSE 0 END), 6) AS canberra FROM w p JOIN w q USING (feature) WHERE p.sample < q.sample GROUP BY 1, 2 HAVING sum(p.x * q.x) > 0""",
+        SELECT p.sample AS a, q.sample AS b, round(sum(CASE WHEN p.x + q.x > 0 THEN abs(p.x - q.x) / (p.x + q.x) ELSE 0 END), 6) AS canberra FROM w p JOIN w q USING (feature) WHERE p.sample < q.sample GROUP BY 1, 2""",
     "composition_clr": "SELECT feature, sample, round(ln(x) - avg(ln(x)) OVER (PARTITION BY sample), 6) AS x FROM c",
     "composition_replace": """, y AS (SELECT feature, sample, greatest(0, x - 5) AS x FROM c), z AS (SELECT *, x / sum(x) OVER (PARTITION BY sample) AS p, count(*) FILTER (x = 0) OVER (PARTITION BY sample) AS z FROM y)
         SELECT feature, sample, round(CASE WHEN p = 0 THEN 0.001 ELSE p * (1 - z * 0.001) END, 9) AS x FROM z""",

@@ -22,7 +22,17 @@ def test_ratios(spark):
 
 def test_canberra_counts_lone_features(spark):
     m = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 4.0), ("a", 2, 3.0), ("c", 2, 5.0), ("d", 3, 1.0)], CELLS)
-    assert [(r["a"], r["b"], r["canberra"]) for r in M.canberra(m).collect()] == [(1, 2, 2.5)]
+    assert sorted((r["a"], r["b"], r["canberra"]) for r in M.canberra(m).collect()) == [(1, 2, 2.5), (1, 3, 3.0), (2, 3, 3.0)]
+
+
+def test_samples_without_counts(spark):
+    m = spark.createDataFrame([("a", 1, 0.0), ("b", 1, 0.0), ("a", 2, 1.0), ("b", 2, 3.0)], CELLS)
+    lengths = spark.createDataFrame([("a", 0), ("b", 1000)], "feature string, length long")
+    shares = {(r["feature"], r["sample"]): r["x"] for r in M.closure(m).collect()}
+    assert shares == {("a", 1): None, ("b", 1): None, ("a", 2): 0.25, ("b", 2): 0.75}
+    assert {r["x"] for r in M.powered(m.where("sample = 1"), 2.0).collect()} == {None}
+    norm = {(r["feature"], r["sample"]): (r["cpm"], r["fpkm"], r["tpm"]) for r in M.normalized(m, lengths).collect()}
+    assert norm[("b", 1)] == (None, None, None) and norm[("a", 2)] == (250000.0, None, None) and norm[("b", 2)] == (750000.0, 750000.0, 1e6)
 
 
 def test_joint_spectrum_takes_complete_sites(spark):
