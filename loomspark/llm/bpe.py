@@ -113,7 +113,7 @@ class Known(dict):
         if len(self) > CACHE_WORDS:
             self.older = dict(self)
             self.clear()
-        again = new.intersection(self.older)
+        again = {w for w in new if w in self.older}  # intersection() would go through all the older ones
         self.update((w, self.older[w]) for w in again)
         self.update(self.bpe.merge_words(list(new - again)))
         self.long = [w for w in new if len(w) > CACHE_BYTES]

@@ -151,6 +151,17 @@ def test_words_outlive_the_cache(theirs, monkeypatch):
     assert [x.tolist() for x in mine.encode_all(texts)] == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_new_words_are_looked_up_among_the_older_ones_one_by_one():
+    class Older(dict):
+        def __iter__(self):
+            raise AssertionError("all the older words are gone through")
+
+    known = bpe.Bpe(queries.tokenizer_path()).known
+    known.older = Older({b"some": b"as it was"})
+    known.learn({b"some", b"words"})
+    assert known == {b"some": b"as it was", b"words": known.bpe.encode("words").tobytes()}
+
+
 def test_bpe_columns_on_odd_rows(spark, odd, none):
     path = queries.tokenizer_path()
     got = bpe.encode_table(odd, path, ids_col="size", decoded_col="row")
