@@ -34,6 +34,8 @@ from loomspark.llm.common import small_batches, whole_row, written
 
 MAX_ROWS, MAX_FEATURES, MIN_ROWS = 8000, 3000, 4
 GRADES, STRONG_Z, PENALTY, STEPS, REJECT_AT = 4, 6.0, 0.1, 400, 0.5
+#: A text can have thousands of features, so those of so many texts are held and handed on at a time.
+FEATURE_ROWS = 64
 #: A worker remembers so many words' bases, some 10 MB.
 CACHE_WORDS = 60_000
 PREFIXES, COUNTS, RATES = range(3, 8), (1, 2, 3, 5), (50, 100, 200, 400)
@@ -57,6 +59,14 @@ def features(text: str | None) -> set[str]:
     return out
 
 
+def feature_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches (h, toxic, text) -> (h, toxic, f), f being the features of each text."""
+    for batch in batches:
+        for at in range(0, len(batch), FEATURE_ROWS):
+            b = batch.iloc[at : at + FEATURE_ROWS]
+            yield pd.DataFrame({"h": b["h"], "toxic": b["toxic"], "f": [sorted(features(t)) for t in b["text"]]})
+
+
 class _Bases(dict):
     """For a word, which of the model's words and prefixes it holds; a bounded cache."""
 
@@ -132,14 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = written(marked.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows).select(F.col("doc_id").alias("id"), "h", "toxic"), "toxicity-sample")
 
-    def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"h": b["h"], "toxic": b["toxic"], "f": [sorted(features(t)) for t in b["text"]]})
-
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").alias("at"), "text").join(sample, F.col("at") == F.col("id"))
     texts = texts.groupBy("id", "h", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of an id's texts one
-    rows = written(texts.select("h", "toxic", "text").mapInPandas(lists, "h long, toxic int, f array<string>"), "toxicity-features")
+    rows = written(texts.select("h", "toxic", "text").mapInPandas(feature_lists, "h long, toxic int, f array<string>"), "toxicity-features")
     n1, n0 = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not n1 or not n0:
         return never

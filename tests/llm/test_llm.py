@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from helpers import SF, assert_matches, duck
@@ -280,6 +281,14 @@ def test_known_features_score_as_all_features():
     assert toxicity.OrdinalModel(weights, [0, 1, 2]).raw(text) == pytest.approx(want)
 
 
+def test_features_are_held_for_few_texts_at_a_time():
+    texts = [f"some words {i}{i} and wordier" * (i % 3) for i in range(500)] + [None]
+    batch = pd.DataFrame({"h": range(501), "toxic": 1, "text": texts})
+    pieces = list(toxicity.feature_lists(iter([batch, batch[:0]])))
+    assert max(map(len, pieces)) <= 64
+    assert [(h, set(f)) for p in pieces for h, f in zip(p["h"], p["f"])] == [(i, toxicity.features(t)) for i, t in enumerate(texts)]
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (3, 0), (4, 0), (6, 1), (7, None), (None, 1), (1, 0)], "doc_id long, toxic int")
     got = toxicity.grade_documents(odd, labels).collect()
