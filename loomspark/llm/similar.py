@@ -12,11 +12,12 @@ reach, must keep its cumulative differences within l/segments of the radius at e
 its budget are pruned. The others go on to the whole Hamming distance and at last to the sets themselves, as sorted
 64-bit hashes of the shingles, so nothing but near copies is linked.
 
-Equal sets are one row from the start. A segment's bucket of up to DENSE documents gives its pairs. In a larger one, as
-large groups of near copies have, the documents meet two of their number first. What then isn't in the bucket's largest
-component yet is compared with that component in blocks, by the whole fingerprints and then by the sets of all within
-the radius. So nothing is dropped or capped, and only documents that share a segment with a large group and aren't linked
-to it by then are compared with all of it.
+Equal sets are one row from the start. A segment's bucket gives its pairs if these are no more than its documents. If
+they are more, as in groups of near copies, each document meets one of them first, and in buckets of more than DENSE two
+that all share. What then isn't in the bucket's largest component yet is compared with that component in blocks, by the
+whole fingerprints and then by the sets of all within the radius. So nothing is dropped or capped, the pairs that leave
+the tasks grow in proportion to a group, and only documents that meet a group and aren't linked to it by then are
+compared with all of it.
 
 Defined results: null text counts as empty, and texts without words are copies of each other; links are transitive; of
 a component the row with the smallest id stays (null last; of repeats of it, one). Empty tables are fine, and other
@@ -40,7 +41,7 @@ from loomspark.llm.components import connected_components
 from loomspark.llm.simhash import keep_best
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-RECALL, DENSE, BLOCK, SLICE = 0.995, 64, 256, 4096
+RECALL, DENSE, BLOCK, SLICE = 0.995, 64, 256, 1024
 #: The share of differing bits that segments are planned for, and the radius, against what is expected of long texts.
 #: Short texts, whose votes are often tied, differ in more bits.
 MARGIN, RADIUS = 1.1, 1.45
@@ -49,6 +50,8 @@ MARGIN, RADIUS = 1.1, 1.45
 LONG = 64
 #: Shingles whose votes are counted at once: so many fit in a byte.
 CHUNK = 255
+#: Shingles that one set is compared with at once.
+COMPARED = 1 << 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,6 +126,19 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (small + large - common)
 
 
+def similar_to(a: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """similar() of one set with each of several."""
+    sizes = np.array([len(s) for s in sets])
+    parts = np.split(np.arange(len(sets)), np.flatnonzero(np.diff(np.cumsum(sizes) // COMPARED)) + 1)
+    common = []
+    for part in parts:
+        theirs = np.concatenate([sets[i] for i in part])
+        held = a[np.minimum(np.searchsorted(a, theirs), len(a) - 1)] == theirs
+        common.append(np.add.reduceat(held, np.cumsum(sizes[part]) - sizes[part], dtype=np.int64))
+    common = np.concatenate(common)
+    return common >= similarity * (len(a) + sizes - common)
+
+
 def ring(bits: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints (rows of bytes) -> the value of each segment and the up to 64 bits that follow it on the ring."""
     flat = np.unpackbits(bits, axis=1, bitorder="little")[:, : plan.segments * plan.width]
@@ -149,11 +165,16 @@ def _keyed(prints: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, plan: Plan) -> DataFrame:
-    """rows (segment, value, after, fp) of small buckets -> the pairs (a, b) whose chain keeps its budget."""
+    """rows (segment, value, after, fp) of small buckets -> the pairs (a, b) whose chain keeps its budget.
+
+    A bucket with more such pairs than documents gives of each document the pair with the least fp, and besides its
+    documents that have pairs, as (segment, value, a) without b, for _open_units.
+    """
 
     def found(segment: np.ndarray, value: np.ndarray, after: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         begins = np.flatnonzero(np.r_[True, (segment[1:] != segment[:-1]) | (value[1:] != value[:-1])])
-        ends = np.repeat(np.r_[begins[1:], len(fp)], np.diff(np.r_[begins, len(fp)]))
+        sizes = np.diff(np.r_[begins, len(fp)])
+        bucket, ends = np.repeat(np.arange(len(begins)), sizes), np.repeat(begins + sizes, sizes)
         others = ends - np.arange(len(fp)) - 1  # every row meets those of its bucket that come after it
         one = np.repeat(np.arange(len(fp)), others)
         two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(others) - others, others)
@@ -161,8 +182,20 @@ def _pairs(rows: DataFrame, plan: Plan) -> DataFrame:
         ok = np.ones(len(one), bool)
         for mask, most in plan.masks():
             ok &= np.bitwise_count((differing & mask).view(np.uint64)) <= most
-        a, b = fp[one[ok]], fp[two[ok]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        one, two = one[ok], two[ok]
+        many = (np.bincount(bucket[one], minlength=len(begins)) > sizes)[bucket[one]]
+        me, other = np.r_[one[many], two[many]], np.r_[two[many], one[many]]
+        order = np.lexsort((fp[other], me))
+        opened, at = np.unique(me[order], return_index=True)
+        a, b = fp[np.r_[one[~many], opened]], fp[np.r_[two[~many], other[order][at]]]
+        pairs, none = np.zeros(len(a), np.int32), np.repeat([False, True], [len(a), len(opened)])
+        columns = [
+            pa.array(np.r_[pairs, segment[opened]], mask=~none),
+            pa.array(np.r_[pairs, value[opened]], mask=~none),
+            pa.array(np.r_[np.minimum(a, b), fp[opened]]),
+            pa.array(np.r_[np.maximum(a, b), fp[opened]], mask=none),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["segment", "value", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; the last bucket of a batch waits for the rest of it."""
@@ -180,7 +213,7 @@ def _pairs(rows: DataFrame, plan: Plan) -> DataFrame:
             yield found(*rest)
 
     dealt = rows.select("segment", "value", "after", "fp").repartition("segment", "value").sortWithinPartitions("segment", "value")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "segment int, value int, a long, b long")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -196,13 +229,13 @@ def _star_pairs(large: DataFrame, plan: Plan) -> DataFrame:
     return met.select(*_ordered(F.col("fp"), F.col("end.fp")))
 
 
-def _open_units(large: DataFrame, labels: DataFrame, prints: DataFrame, sets_of) -> DataFrame:
-    """What of large buckets isn't in their largest component meets that component, as units (main, block, slice).
+def _open_units(opened: DataFrame, labels: DataFrame, prints: DataFrame, sets_of) -> DataFrame:
+    """What of the buckets (segment, value, fp) isn't in their largest component meets that component, as units (main, block, slice).
 
     A unit holds up to about BLOCK such documents (`asks`) and about SLICE of what they meet: the component, and all
     else that meets it. A document meets a component once, however many buckets they share.
     """
-    rows = large.select("segment", "value", "fp").join(labels, large["fp"] == labels["vertex"], "left")
+    rows = opened.join(labels, opened["fp"] == labels["vertex"], "left")
     rows = written(rows.select("segment", "value", "fp", F.coalesce("component", "fp").alias("label")), "similar-labels")
     of = rows.groupBy("segment", "value", "label").agg(F.count(F.lit(1)).alias("n"))
     of = of.groupBy("segment", "value").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
@@ -225,8 +258,8 @@ def _open_units(large: DataFrame, labels: DataFrame, prints: DataFrame, sets_of)
 
 
 def _unit_links(units: DataFrame, plan: Plan) -> DataFrame:
-    """Of every unit links of other components: pairs within the radius are verified on the sets, of each document that
-    asks and each component until one is found."""
+    """Of every unit links of other components: pairs within the radius are verified on the sets, and of each document
+    that asks and each component one link is given."""
 
     def close(one: pd.DataFrame, two: pd.DataFrame) -> pa.RecordBatch:
         x, y = (np.frombuffer(b"".join(t["bits"]), np.uint64).reshape(len(t), -1) for t in (one, two))
@@ -237,10 +270,11 @@ def _unit_links(units: DataFrame, plan: Plan) -> DataFrame:
         ok = (apart <= plan.radius_for(np.minimum(na, nb))) & (np.minimum(na, nb) >= plan.similarity * np.maximum(na, nb))
         labels = two["label"].to_numpy()
         ok &= one["label"].to_numpy()[:, None] != labels[None, :]
-        links, linked = [], set()
-        for i, j in zip(*(k.tolist() for k in np.nonzero(ok))):
-            if (i, labels[j]) not in linked and similar(np.frombuffer(one["hashes"].iat[i], np.uint64), np.frombuffer(two["hashes"].iat[j], np.uint64), plan.similarity):
-                linked.add((i, labels[j]))
+        links, sets = [], [np.frombuffer(h, np.uint64) for h in two["hashes"]]
+        for i in np.flatnonzero(ok.any(axis=1)):
+            near = np.flatnonzero(ok[i])
+            near = near[similar_to(np.frombuffer(one["hashes"].iat[i], np.uint64), [sets[j] for j in near], plan.similarity)]
+            for j in near[np.unique(labels[near], return_index=True)[1]]:
                 links.append(sorted((int(one["fp"].iat[i]), int(two["fp"].iat[j]))))
         a, b = zip(*links) if links else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -262,8 +296,7 @@ def _unit_links(units: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, prints: DataFrame, sets_of, plan: Plan) -> DataFrame:
-    """Of the pairs (a, b) those within the radius, and of these links that join all whose sets are similar: two pairs of
-    each document are verified first, twice, and then those that lie between different components."""
+    """Of the pairs (a, b) those within the radius whose sets are similar."""
 
     @F.pandas_udf("int")
     def apart(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -284,31 +317,7 @@ def _verified(pairs: DataFrame, prints: DataFrame, sets_of, plan: Plan) -> DataF
     radius = F.when(least < LONG, plan.radius).otherwise(plan.long_radius)
     near = written(pairs.where(least >= most * plan.similarity).where(apart("bits_a", "bits_b") <= radius).select("a", "b"), "similar-near")
     sets = written(sets_of(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), "similar-sets")
-    out = None
-    for last in (False, False, True):
-        some = near if last else _partners(near)
-        found = written(both(some, sets, "hashes").where(alike("hashes_a", "hashes_b")).select("a", "b"), "similar-links")
-        out = found if out is None else out.unionByName(found)
-        if not last:
-            near = _between(near, written(connected_components(out), "similar-found"))
-    return out
-
-
-def _partners(pairs: DataFrame) -> DataFrame:
-    """Of the pairs up to two for each document: the first and the last by a hash."""
-    sides = pairs.select(F.col("a").alias("me"), "a", "b").unionAll(pairs.select(F.col("b").alias("me"), "a", "b"))
-    pair, by = F.struct("a", "b"), F.xxhash64("a", "b")
-    ends = sides.groupBy("me").agg(F.array(F.min_by(pair, by), F.max_by(pair, by)).alias("ends"))
-    return ends.select(F.explode("ends").alias("e")).select("e.*").distinct()
-
-
-def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose documents aren't in one component yet."""
-    for side in ("a", "b"):
-        of = labels.select(F.col("vertex").alias(f"v_{side}"), F.col("component").alias(f"c_{side}"))
-        pairs = pairs.join(of, F.col(side) == F.col(f"v_{side}"), "left")
-    apart = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
-    return written(pairs.where(apart).select("a", "b"), "similar-between")
+    return written(both(near, sets, "hashes").where(alike("hashes_a", "hashes_b")).select("a", "b"), "similar-links")
 
 
 def links(prints: DataFrame, sets_of, plan: Plan) -> DataFrame:
@@ -319,11 +328,15 @@ def links(prints: DataFrame, sets_of, plan: Plan) -> DataFrame:
     sizes = written(sizes.select("segment", "value"), "similar-sizes")
     large = written(keyed.join(sizes, ["segment", "value"], "left_semi"), "similar-large")
     small = keyed.join(sizes, ["segment", "value"], "left_anti")
-    first = _verified(_pairs(small, plan).unionByName(_star_pairs(large, plan)), prints, sets_of, plan)
-    if large.isEmpty():
+    met = written(_pairs(small, plan), "similar-met")
+    pairs = met.where("b IS NOT NULL").select("a", "b").unionByName(_star_pairs(large, plan))
+    first = _verified(pairs, prints, sets_of, plan)
+    opened = large.select("segment", "value", "fp").unionByName(met.where("b IS NULL").select("segment", "value", F.col("a").alias("fp")))
+    if opened.isEmpty():
         return first
     found = written(connected_components(first), "similar-found")
-    return first.unionByName(written(_unit_links(_open_units(large, found, prints, sets_of), plan), "similar-links"))
+    more = written(_unit_links(_open_units(opened, found, prints, sets_of), plan), "similar-links")
+    return found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more)
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -96,3 +96,36 @@ def test_similarity_out_of_range():
     for s in (0.2, 1.0):
         with pytest.raises(ValueError):
             similar.Plan(10, s)
+
+
+def test_pairs_grow_in_proportion_to_a_group(spark, monkeypatch):
+    verified, counts, rnd = similar._verified, [], random.Random(6)
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *rest: counts.append(pairs.distinct().count()) or verified(pairs, *rest))
+    text = rnd.choices(WORDS, k=300)
+    for size in (24, 60):  # buckets of at most DENSE
+        rows = [(i, " ".join([*text[: (k := rnd.randrange(300))], f"x{i}", *text[k + 1 :]])) for i in range(size)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(r.doc_id for r in similar.drop_similar(df).collect()) == kept_by_brute_force(rows) == [0]
+    assert counts[1] < 15 * 60 and counts[1] < 4 * counts[0]  # all pairs are 1,770, 6.4 times as many as of 24
+
+
+def test_what_a_group_leaves_open_is_compared_with_all_of_it(spark, monkeypatch):
+    monkeypatch.setattr(similar, "RECALL", 0.99999)
+    rnd, rows = random.Random(7), []
+    text = rnd.choices(WORDS, k=150)
+    for i in range(60):  # many of them near to each other, but not enough for a link
+        words = list(text)
+        for k in rnd.sample(range(150), rnd.choice((1, 2, 4))):
+            words[k] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = kept_by_brute_force(rows)
+    assert sorted(r.doc_id for r in similar.drop_similar(df).collect()) == kept
+
+
+def test_one_set_with_several(monkeypatch):
+    monkeypatch.setattr(similar, "COMPARED", 50)
+    rnd = np.random.default_rng(8)
+    sets = [np.unique(rnd.integers(60, size=rnd.integers(1, 120), dtype=np.uint64)) for _ in range(200)]
+    for a in sets[:20]:
+        assert similar.similar_to(a, sets, 0.8).tolist() == [similar.similar(a, b, 0.8) for b in sets]
