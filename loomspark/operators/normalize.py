@@ -44,7 +44,8 @@ def _bare(variants: DataFrame) -> DataFrame:
 def left_aligned(variants: DataFrame, reference: DataFrame, width: int = WIDTH, halo: int = HALO) -> DataFrame:
     """variants with insertions and deletions moved as far to the left as they go and all alleles trimmed. Other columns
     stay. A change at the very start of a sequence is anchored by the base after it."""
-    rows = _bare(variants.where(_plain()))
+    rows = written(_bare(variants.where(_plain())), "align-bare")  # a filter on its columns would repeat all their work
+    reference = written(reference, "align-tiles")  # read in every round
     shifting = ((F.col("gone") == "") != (F.col("new") == "")) & (F.col("at") > 0)
     kept = rows.columns
     now, done = written(rows.where(shifting), "align-open"), []

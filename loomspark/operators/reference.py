@@ -32,11 +32,12 @@ def own_bases(of: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def common_prefix(a: Column, b: Column, most: int) -> Column:
-    """How many first letters a and b share, up to `most`: a search by halves of lengths."""
+    """How many first letters a and b share, up to `most`: a search by halves of lengths. Both are worked out once, not in
+    each step of the search."""
     steps = [1 << i for i in range(max(1, most).bit_length() - 1, -1, -1)]
-    n = F.least(F.length(a), F.length(b), F.lit(most))
-    longer = lambda k, s: F.when((k + s <= n) & (F.left(a, k + s) == F.left(b, k + s)), k + s).otherwise(k)
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), longer)
+    both = F.array(F.struct(F.left(a, F.lit(most)).alias("a"), F.left(b, F.lit(most)).alias("b")))
+    longer = lambda p: lambda k, s: F.when((k + s <= F.length(p["a"])) & (k + s <= F.length(p["b"])) & (F.left(p["a"], k + s) == F.left(p["b"], k + s)), k + s).otherwise(k)
+    return F.get(F.transform(both, lambda p: F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), longer(p))), F.lit(0))
 
 
 def fetched(rows: DataFrame, of: DataFrame, keys: list[str], start: Column, end: Column, name: str, width: int = WIDTH) -> DataFrame:
