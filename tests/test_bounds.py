@@ -1,5 +1,8 @@
 """What operators do to large tables, seen on small ones: plans, rows written and shuffled."""
 
+import random
+
+from loomspark.operators import intervals as I
 from loomspark.operators import normalize as N
 from loomspark.operators import reference as R
 from loomspark.operators import trees as T
@@ -30,3 +33,72 @@ def test_pd_writes_no_row_for_each_branch_above_a_sample(spark, monkeypatch):
         tips = {int(f) for f, sample, _ in counts if sample == s}
         want[s] = len(tips) + 0.5 * max(tips)
     assert got == want and max(found) < 8 * (2 * deep + 1)  # the ranges are eight levels of the tips
+
+
+ROWS = "chrom string, start long, end long, ord long"
+
+
+def some_rows(seed, n):
+    rnd = random.Random(seed)
+    rows = [("c%d" % rnd.randrange(2), s := rnd.randrange(5_000), s + rnd.choice([0, 0, 1, 40, 700, 90_000]), i) for i in range(n)]
+    return [*rows, *[("c0", 512 * i, 512 * i + d, n + 2 * i + (d > 0)) for i in range(3) for d in (0, 512)], ("c0", None, 5, 900), ("c0", 5, None, 901), (None, 1, 9, 902), ("c9", 1, 3, 903)]
+
+
+def pairs_of(a, b):
+    full = lambda rows: [r for r in rows if None not in r]
+    return [(x, y) for x in full(a) for y in full(b) if x[0] == y[0] and x[1] < y[2] and y[1] < x[2]]
+
+
+def test_counted_overlaps(spark):
+    a, files = some_rows(1, 200), {"one": some_rows(2, 150), "two": some_rows(3, 40), "none": []}
+    frames = {n: spark.createDataFrame(rows, ROWS) for n, rows in files.items()}
+    got = {r.ord: r for r in I.counted(spark.createDataFrame(a, ROWS), frames, covered=True).collect()}
+    for n, rows in files.items():
+        found = pairs_of(a, rows)
+        for x in a:
+            assert (got[x[3]][f"n_{n}"] if x[3] in got else 0) == sum(p[0] is x for p in found)
+            over = {i for p in found if p[0] is x for i in range(max(x[1], p[1][1]), min(x[2], p[1][2]))}
+            assert (got[x[3]][f"bases_{n}"] if x[3] in got else 0) == len(over)
+
+
+def test_all_overlaps(spark):
+    a, b = some_rows(4, 120), some_rows(5, 90)
+    got = sorted(((r.a_ord, r.b_ord, r.shared) for r in I.all_overlaps(*(spark.createDataFrame(x, ROWS) for x in (a, b))).collect()), key=str)
+    found = pairs_of(a, b)
+    want = [(x[3], y[3], min(x[2], y[2]) - max(x[1], y[1])) for x, y in found] + [(x[3], None, 0) for x in a if not any(p[0] is x for p in found)]
+    assert got == sorted(want, key=str)
+
+
+def crowd(spark, n=300, at=1000):
+    """As many rows that all overlap each other."""
+    return spark.createDataFrame([("c", at + i % 7, at + 50, i) for i in range(n)], ROWS)
+
+
+def exchanged(df):
+    """The most rows that a shuffle of the final plan writes, and that a table of it holds."""
+    df.collect()
+    nodes, most = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        plan = nodes.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            nodes.append(plan.plan())
+        if name == "ShuffleExchangeExec":
+            most = max(most, plan.metrics().apply("shuffleRecordsWritten").value())
+        nodes += [plan.children().apply(i) for i in range(plan.children().size())]
+    return most
+
+
+def test_pairs_of_a_crowd_are_not_exchanged(spark):
+    a, genome = crowd(spark), spark.createDataFrame([("c", 9000)], "chrom string, size long")
+    assert exchanged(I.all_overlaps(a, a)) < 3000
+
+
+def test_crowds_are_counted_without_pairs(spark, monkeypatch):
+    a, genome = crowd(spark), spark.createDataFrame([("c", 9000)], "chrom string, size long")
+    monkeypatch.setattr(I, "overlaps", None)
+    assert I.overlap_table(a, a, genome).first().n_both == 300 * 300
+    assert {r.n for r in I.coverage(a, a).collect()} == {300}
+    assert {(r.x_n, r.x_fraction) for r in I.annotate(a, {"x": a}).collect()} == {(300, 1.0)}
