@@ -1,7 +1,11 @@
 """What operators do to large tables, seen on small ones: plans, rows written and shuffled."""
 
+import math
 import random
 
+import pytest
+
+from loomspark.operators import alignments as A
 from loomspark.operators import intervals as I
 from loomspark.operators import normalize as N
 from loomspark.operators import reference as R
@@ -102,3 +106,13 @@ def test_crowds_are_counted_without_pairs(spark, monkeypatch):
     assert I.overlap_table(a, a, genome).first().n_both == 300 * 300
     assert {r.n for r in I.coverage(a, a).collect()} == {300}
     assert {(r.x_n, r.x_fraction) for r in I.annotate(a, {"x": a}).collect()} == {(300, 1.0)}
+
+
+def test_contacts_copy_no_table_to_the_driver(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.uniform(-9, 9), rnd.uniform(-9, 9), rnd.uniform(-9, 9)) for i in range(150)]
+    found = A.contacts(spark.createDataFrame(rows, "id long, x double, y double, z double"), 4.0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.a, r.b): r.distance for r in found.collect()}
+    apart = {(p[0], q[0]): math.dist(p[1:], q[1:]) for p in rows for q in rows if p[0] < q[0]}
+    assert got == pytest.approx({k: d for k, d in apart.items() if d <= 4.0}) and found.count() == len(got)
