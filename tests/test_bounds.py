@@ -4,9 +4,11 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomspark.operators import alignments as A
 from loomspark.operators import intervals as I
+from loomspark.operators import nearest
 from loomspark.operators import normalize as N
 from loomspark.operators import reference as R
 from loomspark.operators import trees as T
@@ -116,3 +118,15 @@ def test_contacts_copy_no_table_to_the_driver(spark):
     got = {(r.a, r.b): r.distance for r in found.collect()}
     apart = {(p[0], q[0]): math.dist(p[1:], q[1:]) for p in rows for q in rows if p[0] < q[0]}
     assert got == pytest.approx({k: d for k, d in apart.items() if d <= 4.0}) and found.count() == len(got)
+
+
+def test_nearest_of_a_crowd_exchanges_no_pairs(spark, monkeypatch):
+    a, found = crowd(spark), []
+    monkeypatch.setattr(nearest, "written", lambda df, label, write=nearest.written: [out := write(df, label), found.append(out.count())][0])
+    monkeypatch.setattr(I, "written", lambda df, label, write=I.written: [out := write(df, label), found.append(out.count())][0])
+    strand = a.withColumn("strand", F.lit("+"))
+    assert exchanged(nearest.nearest(strand, strand, 3)) < 3000 and exchanged(I.closest(a, a)) < 3000
+    apart = strand.withColumns({"start": F.col("start") + 500, "end": F.col("end") + 500})
+    got = nearest.nearest(apart, strand, 2, "first", False, oriented="a", downstream=False)
+    assert exchanged(got) < 3000 and max(found) < 3000
+    assert {r.a_ord: 2 for r in got.collect()} == {i: 2 for i in range(300)} and sorted({r.b_ord for r in got.collect()}) == [0, 1]
