@@ -130,3 +130,28 @@ def test_nearest_of_a_crowd_exchanges_no_pairs(spark, monkeypatch):
     got = nearest.nearest(apart, strand, 2, "first", False, oriented="a", downstream=False)
     assert exchanged(got) < 3000 and max(found) < 3000
     assert {r.a_ord: 2 for r in got.collect()} == {i: 2 for i in range(300)} and sorted({r.b_ord for r in got.collect()}) == [0, 1]
+
+
+def test_values_of_a_crowd_are_not_exchanged(spark):
+    a = crowd(spark)
+    b = a.withColumn("score", F.when(F.col("ord") % 5 > 0, F.col("ord") % 70))
+    got = I.map_values(a, b, {"n": F.count(F.lit(1))}, {"kinds": "score"})
+    assert exchanged(got) < 3000 and {(r.n, r.kinds) for r in got.collect()} == {(300, 56)}
+    wide = I.map_values(a, a.withColumn("score", F.col("ord") * 7), {}, {"kinds": "score"})
+    assert {r.kinds for r in wide.collect()} == {300}
+
+
+def test_more_values_than_words(spark, monkeypatch):
+    monkeypatch.setattr(I, "WORDS", 1)
+    a = crowd(spark)
+    assert {(r.n, r.kinds) for r in I.map_values(a, a, {"n": F.count(F.lit(1))}, {"kinds": "ord"}).collect()} == {(300, 300)}
+
+
+def test_genes_of_a_crowd_are_not_sorted(spark):
+    reads = crowd(spark).withColumns({"flag": F.lit(0), "mapq": F.lit(9)}).unionByName(spark.createDataFrame([("c", 1, 5, 900, 4, 9), ("d", 1, 5, 901, 0, 9)], ROWS + ", flag int, mapq int"))
+    for genes, want in ((("g", "g"), {"g": 300}), (("g", "h"), {"__ambiguous": 300})):
+        features = crowd(spark).withColumn("gene", F.when(F.col("ord") % 2 == 0, genes[0]).otherwise(genes[1]))
+        got = A.assign(reads, features)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not any("SortAggregate" in line and "min(" in line for line in plan.split("\n"))
+        assert {r.gene: r.n for r in got.collect()} == {**want, "__unmapped": 1, "__no_feature": 1}
