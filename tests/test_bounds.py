@@ -111,9 +111,9 @@ def test_crowds_are_counted_without_pairs(spark, monkeypatch):
 
 
 def test_contacts_copy_no_table_to_the_driver(spark):
-    rnd = random.Random(9)
-    rows = [(i, rnd.uniform(-9, 9), rnd.uniform(-9, 9), rnd.uniform(-9, 9)) for i in range(150)]
-    found = A.contacts(spark.createDataFrame(rows, "id long, x double, y double, z double"), 4.0)
+    grid = spark.range(150).selectExpr("id", "cast(id * 7 % 19 AS DOUBLE) AS x", "cast(id * 5 % 13 AS DOUBLE) - 6 AS y", "id / 20.0D AS z")
+    rows = [tuple(r) for r in grid.collect()]
+    found = A.contacts(grid, 4.0)  # Spark knows that the table is small
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     got = {(r.a, r.b): r.distance for r in found.collect()}
     apart = {(p[0], q[0]): math.dist(p[1:], q[1:]) for p in rows for q in rows if p[0] < q[0]}
